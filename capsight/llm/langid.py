@@ -30,10 +30,10 @@ REJECT = 0.001
 ROUNDS = 12
 _SLICE = 1 << 18
 
-#: ASCII letters in lower case, any other ASCII a space, bytes of longer characters as they are.
+#: ASCII other than letters is a space; bytes of longer characters stay.
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[:128] = 0x20
-_LOWER[65:91] = _LOWER[97:123] = np.arange(97, 123)
+_LOWER[97:123] = np.arange(97, 123)
 
 
 def _column_of_gram() -> tuple[np.ndarray, np.ndarray]:
@@ -51,11 +51,8 @@ _THIRD_PART = (_THIRD >> np.uint64(32)).astype(np.uint32)
 
 def gram_counts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(first row, rows x DIMENSION counts) of runs of a text column. Long texts are counted in slices."""
-    for first, last, at, data in pieces(column):
+    for first, last, at, data in pieces(pc.utf8_lower(column)):
         data = _LOWER[data]
-        # capitals of the Latin-1 letters, U+00C0 to U+00DE
-        upper = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
-        data[upper] += 0x20
         for lo in range(first, last, 64):
             hi = min(lo + 64, last)
             out = np.zeros((hi - lo, DIMENSION), dtype=np.float32)

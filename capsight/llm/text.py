@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 PIECE = 1 << 20
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
@@ -115,6 +116,11 @@ def words(column: pa.Array, separators: bytes = WHITE) -> Iterator[Words]:
         yield Words(first, hashes, np.searchsorted(starts, at), starts, ends, data)
 
 
+def plain_words(column: pa.Array) -> Iterator[Words]:
+    """The words of a text column past punctuation and case: runs of letters, digits and non-ASCII signs, lower-cased."""
+    return words(pc.utf8_lower(column), PUNCTUATION)
+
+
 def hash_word(word: str) -> int:
     """The hash that ``words`` gives to this word."""
     (found,) = words(pa.array([word]), b"")

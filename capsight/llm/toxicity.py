@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capsight.llm.text import PUNCTUATION, words
+from capsight.llm.text import plain_words
 
 DIMENSION = 1 << 18
 FACTORS = 4
@@ -33,7 +33,7 @@ EPOCHS, BATCH, RATE, PENALTY = 30, 256, 0.05, 1e-3
 
 def _terms(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, term columns, bounds) of runs of a text column; distinct within a row."""
-    for found in words(column, PUNCTUATION):
+    for found in plain_words(column):
         doc = found.doc_of_word()
         key = np.unique((doc.astype(np.int64) << 18) | (found.hashes >> np.uint64(46)).astype(np.int64))
         yield found.first, (key & (DIMENSION - 1)).astype(np.int32), np.searchsorted(key >> 18, np.arange(found.n_docs + 1))
