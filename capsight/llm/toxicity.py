@@ -64,11 +64,16 @@ class Machine:
         return _probability(self.bias, self.weights, self.vectors, row, text, len(bounds) - 1)[0]
 
 
+def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values by place; floats also where there are none, unlike bincount's."""
+    return np.bincount(at, values, n).astype(np.float64)
+
+
 def _probability(bias, weights, vectors, row, text, n):
     """Probabilities, and the summed vectors that the gradient needs."""
-    linear = np.bincount(text, weights[row], n)
-    summed = np.stack([np.bincount(text, vectors[row, f], n) for f in range(vectors.shape[1])], axis=1)
-    squared = np.stack([np.bincount(text, vectors[row, f] ** 2, n) for f in range(vectors.shape[1])], axis=1)
+    linear = _sums(text, weights[row], n)
+    summed = np.stack([_sums(text, vectors[row, f], n) for f in range(vectors.shape[1])], axis=1)
+    squared = np.stack([_sums(text, vectors[row, f] ** 2, n) for f in range(vectors.shape[1])], axis=1)
     z = bias + linear + 0.5 * (summed**2 - squared).sum(axis=1)
     return 1 / (1 + np.exp(-np.clip(z, -30, 30))), summed
 
@@ -103,9 +108,9 @@ def train(labels: np.ndarray, terms: np.ndarray, bounds: np.ndarray) -> Machine:
             p, summed = _probability(bias, weights, vectors, rows, own, len(picked))
             error = (p - labels[picked]) / len(picked)
             d_bias = error.sum()
-            d_weights = np.bincount(rows, error[own], len(kept)) + PENALTY / n * weights
+            d_weights = _sums(rows, error[own], len(kept)) + PENALTY / n * weights
             pull = error[own, None] * (summed[own] - vectors[rows])
-            d_vectors = np.stack([np.bincount(rows, pull[:, f], len(kept)) for f in range(FACTORS)], axis=1)
+            d_vectors = np.stack([_sums(rows, pull[:, f], len(kept)) for f in range(FACTORS)], axis=1)
             d_vectors += PENALTY * vectors
             g_bias += d_bias**2
             g_weights += d_weights**2
