@@ -9,13 +9,14 @@ from capsight.llm import (
     langid_queries,
     lm_queries,
     mixing_queries,
+    pii_queries,
     secret_queries,
     syncmer_queries,
     toxicity_queries,
 )
 
 MODULES = (
-    dedup_queries, secret_queries, toxicity_queries, decontam_queries, lm_queries, chat_queries,
+    dedup_queries, secret_queries, toxicity_queries, decontam_queries, pii_queries, lm_queries, chat_queries,
     syncmer_queries, mixing_queries, langid_queries,
 )
 
