@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capsight.llm.components import connected_components
-from capsight.llm.spark import semi_by_size, written
+from capsight.llm.spark import anti_by_size, semi_by_size, written
 from capsight.llm.text import mix, shingle_sets, words
 
 BANDS, ROWS = 32, 4
@@ -330,3 +330,18 @@ def _labelled(signed: DataFrame, classes: DataFrame, links: DataFrame, roots: Da
             F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         )
     )
+
+
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component of near-duplicates, all columns kept.
+
+    The document of the least doc_id stays. Rows of one doc_id are one document: of repeated rows
+    one stays, and a document goes if any row of it goes. Rows of null doc_id all stay.
+    """
+    found = written(near_duplicates(docs, width, percent).select("doc_id", "kept").where("doc_id is not null"), "kept")
+    left = anti_by_size(docs, found.where("not kept").select("doc_id").distinct(), "doc_id")
+    repeated = written(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return left.select(docs.columns)
+    once = semi_by_size(left, repeated, "doc_id").dropDuplicates(["doc_id"])
+    return anti_by_size(left, repeated, "doc_id").select(docs.columns).union(once.select(docs.columns))

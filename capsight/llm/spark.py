@@ -40,7 +40,16 @@ def written(frame: DataFrame, name: str) -> DataFrame:
 BROADCAST_IDS = 2_000_000
 
 
+def _by_size(frame: DataFrame, ids: DataFrame, key: str, how: str, bound: int) -> DataFrame:
+    few = ids.limit(bound + 1).count() <= bound
+    return frame.join(F.broadcast(ids) if few else ids.hint("merge"), key, how)
+
+
 def semi_by_size(frame: DataFrame, ids: DataFrame, key: str, bound: int = BROADCAST_IDS) -> DataFrame:
     """Rows of ``frame`` whose key is in ``ids``: ids are broadcast if counted under ``bound``, else both are shuffled."""
-    few = ids.limit(bound + 1).count() <= bound
-    return frame.join(F.broadcast(ids) if few else ids.hint("merge"), key, "left_semi")
+    return _by_size(frame, ids, key, "left_semi", bound)
+
+
+def anti_by_size(frame: DataFrame, ids: DataFrame, key: str, bound: int = BROADCAST_IDS) -> DataFrame:
+    """Rows of ``frame`` whose key is not in ``ids``, or is null; by the same choice."""
+    return _by_size(frame, ids, key, "left_anti", bound)

@@ -160,3 +160,17 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, machine: Machine, threshold: float) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            for first, terms, bounds in _terms(batch.column("text")):
+                keep[first : first + len(bounds) - 1] = shared.value.scores(terms, bounds) < threshold
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
