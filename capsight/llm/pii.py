@@ -1,12 +1,14 @@
 """Personal data in texts: checked patterns, and candidates selected by boosted trees, in DataFrame functions only.
 
-Four base patterns with checks (e-mail, IPv4 address, payment card, phone) always count. Beyond
-them two high-recall generators propose spans, which may overlap the base ones and each other:
-``handle`` (anything like name-at-domain, also written out) and ``number`` (seven or more digits
-with separators). Trees over format and context features - never over the checks - learn from all
-candidates of the corpus which ones a base span confirms; a candidate that no base span confirms is
-added if its probability reaches the threshold of its kind, the lowest one that on the calibration
-fold keeps ``PRECISION``.
+Four base patterns with checks (e-mail, IPv4 address, payment card, phone) always count. They are
+greedy, and take no second try, so a card or phone beside another number can escape them. Beyond
+them high-recall generators propose spans that may overlap the base ones and each other: ``handle``
+(anything like name-at-domain, also written out), ``number`` (seven or more digits with
+separators), ``run`` (13 to 19 digits, or four groups of four) and ``plus`` (an international
+number of two, three or four groups). Boosted trees over format and context features learn, from
+all candidates of the corpus, which ones a base span confirms; a candidate that no base span
+covers is added if its probability reaches the threshold of its kind, the lowest one that on the
+calibration fold keeps ``PRECISION``.
 
 Positions come without a shuffle: ``split`` and ``regexp_extract_all`` walk over the same matches, so
 the lengths of pieces and matches add up to the starts. The patterns are possessive wherever that
@@ -24,7 +26,7 @@ from capsight.llm import boosting
 from capsight.llm.spark import fold, written
 
 #: Kinds in order; the first four are the base kinds.
-KINDS = ("email", "ip", "card", "phone", "handle", "number")
+KINDS = ("email", "ip", "card", "phone", "handle", "number", "run", "plus")
 N_BASE = 4
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -33,18 +35,27 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "handle": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++\x20?(?:@|[(\[]\x20?at\x20?[)\]])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[]\x20?dot\x20?[)\]])\x20?[A-Za-z0-9-]++)*+",
-    "number": r"(?<![0-9])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+",
 }
+#: (kind, pattern, base kinds that confirm it).
+GENERATORS = (
+    ("handle", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++\x20?(?:@|[(\[]\x20?at\x20?[)\]])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[]\x20?dot\x20?[)\]])\x20?[A-Za-z0-9-]++)*+", ("email",)),
+    ("number", r"(?<![0-9])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+", ("email", "ip", "card", "phone")),
+    ("run", r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])", ("card",)),
+    *(
+        ("plus", rf"\+[0-9]{{1,3}}[\x20.-]?\(?[0-9]{{1,4}}\)?(?:[\x20.-][0-9]{{2,4}}){{{n}}}(?![0-9])", ("phone",))
+        for n in (2, 3, 4)
+    ),
+)
 #: What a text must hold for a pattern to be tried at all.
 NEEDED = {
     "email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]",
     "handle": r"@|[(\[]\x20?at\x20?[)\]]", "number": r"[0-9](?:[\x20().-]{0,2}[0-9]){6}",
+    "run": r"[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}", "plus": r"\+[0-9]",
 }
 #: Words before a candidate that hint at what it is.
 CUES = (r"(?i)mail|contact|write", r"(?i)phone|tel|call|mobile|fax", r"(?i)card|visa|credit|payment", r"(?i)\bip\b|host|server|address")
 
-FEATURES = ("generator", "digits", "groups", "signs", "before", "after", "cue", "head")
+FEATURES = ("generator", "digits", "groups", "signs", "before", "after", "cue", "head", "luhn")
 PRECISION = 0.95
 CALIBRATION_FOLDS = 5
 _BLOCK = 256
@@ -82,7 +93,7 @@ def _running(lengths: Column) -> Column:
     )
 
 
-def _matches(text: Column, kind: str, make) -> Column:
+def _matches(text: Column, pattern: str, make) -> Column:
     """``make(match, start, piece before, piece after)`` of every match, as an array."""
 
     def of(pieces: Column, found: Column) -> Column:
@@ -98,8 +109,8 @@ def _matches(text: Column, kind: str, make) -> Column:
         )
 
     return _let(
-        F.split(text, PATTERNS[kind], -1),
-        lambda pieces: _let(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), lambda found: of(pieces, found)),
+        F.split(text, pattern, -1),
+        lambda pieces: _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: of(pieces, found)),
     )
 
 
@@ -134,7 +145,7 @@ def _valid(kind: str, match: Column) -> Column:
 def _base(text: Column, kind: str) -> Column:
     number = KINDS.index(kind)
     found = _matches(
-        text, kind,
+        text, PATTERNS[kind],
         lambda m, start, *_: F.struct(
             F.lit(number).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), _valid(kind, m).alias("valid")
         ),
@@ -162,7 +173,7 @@ def _bucket(value: Column, bounds: tuple[int, ...]) -> Column:
 _CANDIDATE = "array<struct<kind:int,start:int,end:int," + ",".join(f"{f}:int" for f in FEATURES) + ">>"
 
 
-def _candidates(text: Column, kind: str) -> Column:
+def _candidates(text: Column, kind: str, pattern: str) -> Column:
     """Proposed spans with their features: each a small number, so that few combinations exist."""
     number = KINDS.index(kind)
 
@@ -171,7 +182,8 @@ def _candidates(text: Column, kind: str) -> Column:
         cue = F.lit(0)
         for k, words in reversed(list(enumerate(CUES, 1))):
             cue = F.when(context.rlike(words), k).otherwise(cue)
-        n = F.length(_digits(match))
+        digits = _digits(match)
+        n = F.length(digits)
         return F.struct(
             F.lit(number).alias("kind"), start.alias("start"), (start + F.length(match)).alias("end"),
             F.lit(number - N_BASE).alias("generator"),
@@ -181,25 +193,34 @@ def _candidates(text: Column, kind: str) -> Column:
             _class_of(F.right(before, F.lit(1))).alias("before"), _class_of(F.left(after, F.lit(1))).alias("after"),
             cue.alias("cue"),
             _bucket(F.length(F.regexp_extract(match, r"^\(?([A-Za-z0-9]*)", 1)), (1, 2, 3, 4, 5, 9)).alias("head"),
+            F.when(n.between(13, 19), _luhn(digits)).otherwise(F.lit(False)).cast("int").alias("luhn"),
         )
 
-    return F.when(text.rlike(NEEDED[kind]), _matches(text, kind, make).cast(_CANDIDATE)).otherwise(F.array().cast(_CANDIDATE))
+    return F.when(text.rlike(NEEDED[kind]), _matches(text, pattern, make).cast(_CANDIDATE)).otherwise(F.array().cast(_CANDIDATE))
 
 
 def _overlap(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+def _confirms(base: Column, candidate: Column) -> Column:
+    """Whether a base span, of a kind that can confirm the candidate, overlaps it."""
+    able = F.lit(False)
+    for kind, names in {kind: names for kind, _, names in GENERATORS}.items():
+        able = F.when(candidate["kind"] == KINDS.index(kind), base["kind"].isin(*[KINDS.index(n) for n in names])).otherwise(able)
+    return _overlap(base, candidate) & able
+
+
 def proposed(docs: DataFrame, *others: str) -> DataFrame:
     """Per row of ``docs``: doc_id, ``others``, base spans and candidates (with ``hit``: a base span overlaps)."""
     text = F.coalesce("text", F.lit(""))
     base = F.concat(*[_base(text, kind) for kind in KINDS[:N_BASE]])
-    candidates = F.concat(*[_candidates(text, kind) for kind in KINDS[N_BASE:]])
+    candidates = F.concat(*[_candidates(text, kind, pattern) for kind, pattern, _ in GENERATORS])
     found = docs.select("doc_id", *others, base.alias("_base"), candidates.alias("_proposed"))
     return found.select(
         "doc_id", *others, "_base",
         F.transform(
-            "_proposed", lambda c: c.withField("hit", F.exists("_base", lambda b: _overlap(b, c)))
+            "_proposed", lambda c: c.withField("hit", F.exists("_base", lambda b: _confirms(b, c)))
         ).alias("_proposed"),
     )
 
@@ -221,7 +242,7 @@ class Selector:
 def learn(found: DataFrame, precision: float = PRECISION) -> Selector:
     """Trees and thresholds from all candidates of ``proposed``.
 
-    They are counted by pattern in Spark; there are at most 2 * 10 * 6 * 8 * 6 * 6 * 5 * 7 patterns,
+    They are counted by pattern in Spark; there are at most 4 * 10 * 6 * 8 * 6 * 6 * 5 * 7 * 2 patterns,
     of which a corpus holds some hundreds, whatever its size. One fold of the documents calibrates.
     """
     calibration = (fold("doc_id", CALIBRATION_FOLDS) == 0) & F.col("doc_id").isNotNull()
