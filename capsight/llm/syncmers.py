@@ -137,7 +137,8 @@ def edited_fingerprints(docs: DataFrame, share: int = 4) -> DataFrame:
     asked = links.join(need, "key").select(F.col("next_key").alias("key"), F.col("key").alias("asking"), "need")
     least = Window.partitionBy("key").orderBy("text")
     heads = (
-        base.withColumn("rank", F.row_number().over(least)).where("rank = 1").join(asked.hint("merge"), "key")
+        # the first row of each key, by lag and not by rank: so both uses of ``base`` share one shuffle
+        base.withColumn("earlier", F.lag("key").over(least)).where("earlier is null").join(asked.hint("merge"), "key")
         .select(
             F.col("asking").alias("key"), F.expr("substring(text, 1, need)").alias("head"),
             hashes(anchors(F.col("text"))).alias("next_hashes"),
