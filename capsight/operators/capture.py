@@ -152,12 +152,10 @@ def event_label(precedence: tuple[str, ...] = ("fast_retransmission", "retransmi
 def syn_options(packets: DataFrame) -> DataFrame:
     """(option, value, n): counts of MSS and window-scale texts and of SACK permissions, over packets with SYN."""
     syn = packets.where("is_tcp and syn")
+    option = lambda name, value: F.struct(F.lit(name).alias("option"), value.alias("value"))
     return (
         syn.select(F.inline(F.array(
-            F.struct(F.lit("syn").alias("option"), F.lit("1").alias("value")),
-            F.struct(F.lit("mss"), F.col("mss")),
-            F.struct(F.lit("window_scale"), F.col("wscale")),
-            F.struct(F.lit("sack_permitted"), F.when(F.col("sack"), "1")),
+            option("syn", F.lit("1")), option("mss", F.col("mss")), option("window_scale", F.col("wscale")), option("sack_permitted", F.when(F.col("sack"), "1")),
         )))
         .where("value is not null").groupBy("option", "value").agg(F.count("*").alias("n"))
     )

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from capsight.plans import events
+from capsight.plans import events, ordered, packets, protocols
 
-MODULES = (events,)
+MODULES = (events, packets, protocols, ordered)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
