@@ -33,9 +33,14 @@ BANDWIDTH_UNIT = r"(?:gbps?|gb/s|g|mbps?|mb/s|m|kbps?|kb/s|k|千兆|兆)"
 
 def replaced(text: Column, pattern: str, make) -> Column:
     """The text with each match of ``pattern`` replaced by ``make(match)``: unlike ``regexp_replace``, any expression of it."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    joined = F.zip_with(pieces, F.transform(found, make), lambda piece, new: F.concat(piece, F.coalesce(new, F.lit(""))))
-    return F.array_join(joined, "")
+
+    def fold(bound: Column) -> Column:
+        pieces, found = F.split(bound, pattern, -1), F.regexp_extract_all(bound, F.lit(pattern), F.lit(0))
+        joined = F.zip_with(pieces, F.transform(found, make), lambda piece, new: F.concat(piece, F.coalesce(new, F.lit(""))))
+        return F.array_join(joined, "")
+
+    # the text is bound by a lambda, so that chained replacements don't evaluate it twice each
+    return F.get(F.transform(F.array(text), fold), F.lit(0))
 
 
 def redacted(text: Column) -> Column:

@@ -168,11 +168,11 @@ def flow_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EVENTS = f"""{PACKETS},
     ev AS (SELECT frame || ':' || t.event_type || ':' || direction || ':' || flow_id AS evidence_id, t.event_type, frame AS frame_number,
                   time AS time_relative, flow_id, direction, tcp_seq, tcp_ack, window_size AS tcp_window_size, n_bytes AS tcp_len, rtt_ms / 1000.0 AS ack_rtt
-           FROM p, LATERAL (SELECT unnest(list_filter([CASE WHEN retransmission THEN 'retransmission' END,
+           FROM p, LATERAL (SELECT unnest([CASE WHEN retransmission THEN 'retransmission' END,
              CASE WHEN fast_retransmission THEN 'fast_retransmission' END, CASE WHEN duplicate_ack THEN 'duplicate_ack' END,
              CASE WHEN out_of_order THEN 'out_of_order' END, CASE WHEN zero_window THEN 'zero_window' END,
-             CASE WHEN window_full THEN 'window_full' END], x -> x IS NOT NULL)) AS event_type) t
-           WHERE is_tcp AND frame > 0),
+             CASE WHEN window_full THEN 'window_full' END]) AS event_type) t
+           WHERE is_tcp AND frame > 0 AND t.event_type IS NOT NULL),
     hit AS (SELECT * FROM ev WHERE tcp_len >= 200 AND direction <> 'download' AND time_relative BETWEEN 3600 AND 2000000
               AND event_type IN ('zero_window', 'window_full', 'out_of_order'))"""
 _BOUNDS = "[1.0, 5.0, 10.0, 20.0, 50.0, 100.0, 200.0, 500.0, 1000.0, 'inf'::DOUBLE]"
