@@ -31,7 +31,7 @@ ORACLE_SQL = {
     "interval_metrics": f"""
         WITH e AS (
           SELECT event_type, value,
-                 (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) // ({INTERVAL_SECONDS} * 1000000) AS slot
+                 (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) // {INTERVAL_SECONDS * 1_000_000} AS slot
           FROM events)
         SELECT slot * {INTERVAL_SECONDS} AS interval_start, event_type, count(*) AS n_events,
                round(sum(value), 4) AS total_value,
