@@ -1,22 +1,25 @@
 """Language-model scores from a weighted backoff automaton.
 
-Counting covers the whole corpus: every learning text's tokens, then the pairs of frequent tokens,
-then the triples whose pairs were kept, each combined within the task and summed by key. Smoothed
-n-grams become states: a state per kept n-gram, an arc per kept continuation with its discounted
-log-probability, and a failure arc, with a backoff weight, to the state of the longest suffix.
-Scoring goes over a text once from left to right, carrying the state; because a state depends on
-the last ``ORDER - 1`` tokens only, the arcs of all tokens of a batch are looked up together.
-
-The automaton that goes to the tasks is bounded (``WORDS``, ``HEADS``, ``GRAMS``): it holds the most
-frequent tokens and n-grams, as a pruned model does. It is a bound on the model's order above one,
-not on the corpus: probabilities of all other tokens are exact too, by a join of each text's
-remaining distinct tokens with the full table of counts.
+Counting covers the whole corpus: every learning text's tokens, then its pairs, then its triples,
+each combined within the task and summed by key. An n-gram goes by the hash of its prefix's and its
+suffix's; all of ``LEAST`` or more occurrences are kept, in written tables. Smoothed n-grams become
+states: a state per kept n-gram, an arc per kept continuation with its discounted log-probability,
+and a failure arc, with a backoff weight, to the state of the longest suffix.
+
+The hot part of the automaton goes to the tasks (``WORDS``, ``GRAMS``: the most frequent tokens and
+n-grams), and texts are walked through it once from left to right. What it lacks is not dropped: a
+path's weight is a sum of one gain per n-gram in it, so each text's remaining distinct tokens and
+n-grams are joined with the table of all gains, and the score is that of the whole automaton.
+
+Bitmaps of ``FILTER_BITS`` at most spare work: of the n-grams' parts while counting, of the table's
+keys while scoring. When full they let more through, never less.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +27,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capsight.llm.spark import written
-from capsight.llm.text import Words, hash_word, words
+from capsight.llm.text import Words, hash_word, mix, words
 
 ORDER = 3
-#: Tokens whose counts go to the tasks; tokens that n-grams are made of; n-grams kept of each order.
-WORDS, HEADS, GRAMS = 1 << 18, 1 << 14, 1 << 18
+#: Of the hot part in the tasks: its tokens; its n-grams of each order above one.
+WORDS, GRAMS = 1 << 18, 1 << 18
 LEAST = 2
 DISCOUNT = 0.6
 #: Distinct keys that a counting task holds before it passes them on.
 HELD = 1 << 20
 #: The end token: no word holds white space.
 END = np.uint64(hash_word("\n end"))
+#: log2 of the bits of a bitmap over keys, at most.
+FILTER_BITS = 28
+#: A hot n-gram's number is (number of its prefix) * _BASE + (number of its last token).
+_BASE = 1 << 32
 
 
 def sequences(found: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -49,34 +56,72 @@ def sequences(found: Words) -> tuple[np.ndarray, np.ndarray]:
     return tokens, bounds
 
 
-def _tallied(keys: Iterable[np.ndarray], name: str) -> Iterator[pa.RecordBatch]:
-    """(key, n) batches of the keys' counts; combined while fewer than HELD distinct ones are held."""
-    def batch(key, n):
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=[name, "n"])
+def gram_keys(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    return mix(prefix * np.uint64(0x9E3779B97F4A7C15) + suffix)
 
-    held, total = np.empty(0, np.int64), np.empty(0, np.int64)
-    waiting: list[np.ndarray] = []
+
+def ngrams(tokens: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, prefixes, suffixes, keys) of the n-grams that end at the places, for n from 2; END leads each text."""
+    before = np.concatenate([np.array([END]), tokens[:-1]])[: len(tokens)]
+    places, prefix, suffix = np.arange(len(tokens)), before, tokens
+    for _ in range(2, order + 1):
+        key = gram_keys(prefix, suffix)
+        yield places, prefix, suffix, key
+        # an n-gram's predecessor ends one place before, and END has no longer state
+        follows = np.flatnonzero((places[1:] == places[:-1] + 1) & (before[places[1:]] != END)) + 1
+        places, prefix, suffix = places[follows], key[follows - 1], key[follows]
+
+
+def _tallied(parts: Iterable[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """(names, n) batches of the counts of keys, each with its columns; combined while fewer than HELD distinct ones are held."""
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns] + [pa.array(total)], names=[*names, "n"])
+
+    empty = np.empty(0, np.uint64)
+    held, total, columns = empty, np.empty(0, np.int64), [empty] * len(names)
+    waiting: list[tuple[np.ndarray, ...]] = []
     size = 0
 
     def merge():
-        nonlocal held, total, waiting, size
-        key = np.concatenate([held, *waiting])
+        nonlocal held, total, columns, waiting, size
+        key = np.concatenate([held, *(w[0] for w in waiting)])
         n = np.concatenate([total, np.ones(len(key) - len(held), np.int64)])
-        held, at = np.unique(key, return_inverse=True)
+        held, first, at = np.unique(key, return_index=True, return_inverse=True)
         total = np.bincount(at, n, len(held)).astype(np.int64)
+        columns = [np.concatenate([c, *(w[k + 1] for w in waiting)])[first] for k, c in enumerate(columns)]
         waiting, size = [], 0
 
-    for some in keys:
+    for some in parts:
         waiting.append(some)
-        size += len(some)
+        size += len(some[0])
         if size >= HELD:
             merge()
             if len(held) >= HELD:
-                yield batch(held, total)
-                held, total = np.empty(0, np.int64), np.empty(0, np.int64)
+                yield batch()
+                held, total, columns = empty, np.empty(0, np.int64), [empty] * len(names)
     merge()
     if len(held):
-        yield batch(held, total)
+        yield batch()
+
+
+def bitmap(frame: DataFrame, key: str, n: int) -> np.ndarray:
+    """A bit for each of the ``n`` keys, at its leading bits."""
+    bits = min(FILTER_BITS, max(10, int(n).bit_length() + 3))
+    place = F.shiftrightunsigned(key, 64 - bits)
+    found = (
+        frame.select(F.shiftrightunsigned(place, 6).alias("at"), place.bitwiseAND(F.lit(63)).cast("int").alias("b"))
+        .groupBy("at").agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits"))
+    )
+    at, some = _numbers(found, "at", "bits")
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    out[at] = some.view(np.uint64)
+    return out
+
+
+def may_hold(found: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether a bitmap has the keys' bits."""
+    place = keys >> np.uint64(64 - 6 - (len(found).bit_length() - 1))
+    return (found[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
 def _found(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -90,21 +135,23 @@ def _found(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Automaton:
-    """``words``/``counts``: the frequent tokens. ``head``: a token's number among those of n-grams, or -1.
+    """The hot part. ``words``/``counts``: the frequent tokens, a token's number is its place there.
 
-    ``keys[n]`` are the kept n-grams, each (number of its prefix) * HEADS + (number of its last token);
+    ``keys[n]`` are the hot n-grams, each (number of its prefix) * _BASE + (number of its last token);
     ``arc[n]`` their log10 probabilities and ``back[n]`` the log10 weights of the failure arcs of the
-    states of order n. ``n_tokens`` and ``n_distinct`` are of the learning texts.
+    states of order n, both of the whole automaton. A hot n-gram's prefix and suffix are hot too.
+    ``n_tokens`` and ``n_distinct`` are of the learning texts, ``filter`` is the bitmap of all keys.
     """
 
     words: np.ndarray
     counts: np.ndarray
-    head: np.ndarray
     n_tokens: int
     n_distinct: int
     keys: dict[int, np.ndarray]
     arc: dict[int, np.ndarray]
     back: dict[int, np.ndarray]
+    filter: np.ndarray
+    order: int
 
     def states(self, tokens: np.ndarray, order: int) -> tuple[np.ndarray, dict[int, np.ndarray], dict[int, np.ndarray]]:
         """(place among words, per order the n-gram that ends at each token, and the state that it is for the next).
@@ -112,26 +159,28 @@ class Automaton:
         -1 where there is none. A text starts in the state of END; END itself leaves no longer state.
         """
         at = _found(self.words, tokens)
-        one = np.where(at >= 0, self.head[at], -1) if len(self.head) else at
-        grams, after = {1: one}, {1: one}
+        grams, after = {1: at}, {1: at}
         end = tokens == END
         for n in range(2, order + 1):
             before = np.empty(len(tokens), dtype=np.int64)
             before[1:] = after[n - 1][:-1]
             before[:1] = self.start() if n == 2 else -1
-            possible = (before >= 0) & (one >= 0)
+            possible = (before >= 0) & (at >= 0)
             gram = np.full(len(tokens), -1, dtype=np.int64)
-            gram[possible] = _found(self.keys[n], before[possible] * HEADS + one[possible])
+            gram[possible] = _found(self.keys[n], before[possible] * _BASE + at[possible])
             grams[n] = gram
             after[n] = np.where(end, -1, gram)
         return at, grams, after
 
     def start(self) -> int:
-        at = int(_found(self.words, np.array([END]))[0])
-        return int(self.head[at]) if at >= 0 else -1
+        return int(_found(self.words, np.array([END]))[0])
 
     def log_probabilities(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place among words, log10 probability) of each token; of absent ones, only the failure weights on the way down."""
+        """(place among words, log10 probability) of each token by the hot part; of absent ones, only the failure weights on the way down."""
+        return self.walked(tokens)[:2]
+
+    def walked(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+        """(place among words, log10 probability, per order the hot n-gram or -1) of each token."""
         order = max(self.keys, default=1)
         at, grams, after = self.states(tokens, order)
         out = np.where(at >= 0, self.log_counts(at) - self.log_total(), 0.0)
@@ -144,7 +193,7 @@ class Automaton:
             out[failing] += self.back[n - 1][before[failing]]
             arcs = grams[n] >= 0
             out[arcs] = self.arc[n][grams[n][arcs]]
-        return at, out
+        return at, out, grams
 
     def log_counts(self, at: np.ndarray) -> np.ndarray:
         """log10(count + 1) at places among words, 0 for -1."""
@@ -177,68 +226,118 @@ def _numbers(frame: DataFrame, *names: str) -> list[np.ndarray]:
     return [found.column(c).to_numpy().astype(np.int64) for c in names]
 
 
-def _token_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+def _token_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     for batch in batches:
         for found in words(batch.column("text")):
-            yield sequences(found)[0].view(np.int64)
+            tokens, _ = sequences(found)
+            yield tokens, tokens
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
     """(token, n): the counts of all tokens of the texts, END among them."""
-    counted = texts.select("text").mapInArrow(lambda b: _tallied(_token_keys(b), "token"), "token long, n long")
+    counted = texts.select("text").mapInArrow(lambda b: _tallied(_token_keys(b), ["token"]), "token long, n long")
     return counted.groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def _gram_keys(automaton: Automaton, n: int) -> Callable:
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+def count_grams(texts: DataFrame, n: int, parts: np.ndarray) -> DataFrame:
+    """(prefix, suffix, key, n) of all n-grams of LEAST or more; ``parts`` is a bitmap of the kept ones of the order below."""
+    shared = texts.sparkSession.sparkContext.broadcast(parts)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
             for found in words(batch.column("text")):
-                tokens, _ = sequences(found)
-                _, grams, after = automaton.states(tokens, n - 1)
-                before = np.empty(len(tokens), dtype=np.int64)
-                before[1:] = after[n - 1][:-1]
-                before[:1] = automaton.start() if n == 2 else -1
-                # the n-gram's suffix must be kept too, so that the failure arc has a state to go to
-                kept = (before >= 0) & (grams[n - 1] >= 0)
-                yield before[kept] * HEADS + grams[1][kept]
+                *_, (_, prefix, suffix, key) = ngrams(sequences(found)[0], n)
+                # rarer parts than LEAST make no n-gram of LEAST
+                kept = may_hold(shared.value, prefix) & may_hold(shared.value, suffix)
+                yield key[kept], prefix[kept], suffix[kept]
 
-    return keys
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix, suffix = (batch.column(c).to_numpy().view(np.uint64) for c in ("prefix", "suffix"))
+            key = pa.array(gram_keys(prefix, suffix).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("prefix"), batch.column("suffix"), key, batch.column("n")], names=["prefix", "suffix", "key", "n"])
+
+    counted = texts.mapInArrow(lambda b: _tallied(keys(b), ["prefix", "suffix"]), "prefix long, suffix long, n long")
+    kept = counted.groupBy("prefix", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    return written(kept.mapInArrow(keyed, "prefix long, suffix long, key long, n long"), "grams")
 
 
 def learn(docs: DataFrame, learning: Column, order: int = ORDER) -> tuple[Automaton, DataFrame]:
-    """The automaton, and the table (token, n) of all counts, of the rows of ``docs`` where ``learning`` holds."""
+    """The automaton's hot part, and the table (key, n, gain) of all of it, of the rows of ``docs`` where ``learning`` holds.
+
+    Keys are tokens and n-grams; n is null but for tokens. A token's gain is log10(n + 1) and its
+    failure weight; an n-gram's is its arc less the way to the same token over its prefix's failure
+    arc, and its own failure weight: along a text they add up to the arcs and failures taken.
+    """
     texts = docs.where(learning).select("text")
     counts = written(count_tokens(texts), "tokens")
-    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") >= LEAST)).first()
     end = counts.where(F.col("token") == int(END.view(np.int64)))
-    hashed, n = _numbers(_frequent(counts, WORDS - 1, 1).union(end).distinct(), "token", "n")
-    tokens = hashed.view(np.uint64)
+    log_total = float(np.log10(totals[0] + totals[1] + 1.0))
+    states = {1: counts.select(F.col("token").alias("key"), "n", (F.log10(F.col("n") + 1.0) - log_total).alias("arc"))}
+    backs: dict[int, DataFrame] = {}
+    kept, size = counts.where(F.col("n") >= LEAST).select(F.col("token").alias("key")), totals[2]
+    for k in range(2, order + 1):
+        grams = count_grams(texts, k, bitmap(kept, "key", size))
+        below = states[k - 1]
+        states[k] = written(
+            grams.join(below.select(F.col("key").alias("prefix"), F.col("n").alias("above")), "prefix")
+            .join(below.select(F.col("key").alias("suffix"), F.col("arc").alias("lower")), "suffix")
+            .select("prefix", "suffix", "key", "n", F.log10((F.col("n") - DISCOUNT) / F.col("above")).alias("arc"), "lower"),
+            "states",
+        )
+        left = lambda c: F.greatest(1 - F.sum(F.pow(F.lit(10.0), c)), F.lit(1e-12))
+        backs[k - 1] = written(
+            states[k].groupBy(F.col("prefix").alias("key")).agg(F.log10(left("arc") / left("lower")).alias("back")), "backs"
+        )
+        kept, size = states[k].select("key"), states[k].count()
+    table = written(reduce(DataFrame.union, [_gains(states, backs, k) for k in states]), "gains")
+
+    found = _with_back(_frequent(counts, WORDS - 1, 1).union(end).distinct().withColumnRenamed("token", "key"), backs, 1)
+    key, n, back = _columns(found, "key", "n", "back")
+    tokens = key.view(np.uint64)
     by_hash = np.argsort(tokens)
     tokens, n = tokens[by_hash], n[by_hash]
-    head = np.full(len(tokens), -1, dtype=np.int64)
-    ranked = np.lexsort((tokens, -np.where(tokens == END, np.int64(1) << 62, n)))[:HEADS]
-    head[ranked] = np.arange(len(ranked))
-    automaton = Automaton(tokens, n, head, int(totals[0]), int(totals[1]), {}, {}, {})
-    below = n[ranked]  # counts of the states of the order below
-    lower = np.log10(below + 1.0) - automaton.log_total()
+    automaton = Automaton(
+        tokens, n, int(totals[0]), int(totals[1]), {}, {}, {1: back[by_hash]}, bitmap(table, "key", table.count()), order
+    )
+    hashed, last = tokens, np.arange(len(tokens))  # of the order below: keys, and numbers of last tokens
+    by_hash = np.arange(len(tokens))
     for k in range(2, order + 1):
-        counted = texts.mapInArrow(
-            lambda b, keys=_gram_keys(automaton, k): _tallied(keys(b), "gram"), "gram long, n long"
-        )
-        grams = written(counted.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST), "grams")
-        key, n = _numbers(_frequent(grams, GRAMS, LEAST), "gram", "n")
-        by_key = np.argsort(key)
-        key, n = key[by_key], n[by_key]
-        prefix, last = key // HEADS, key % HEADS
-        p = (n - DISCOUNT) / below[prefix]
-        # what the state of the longest suffix gives to the same token
-        suffix = last if k == 2 else _found(automaton.keys[k - 1], (automaton.keys[k - 1][prefix] % HEADS) * HEADS + last)
-        spared = np.bincount(prefix, p, len(below))
-        given = np.bincount(prefix, 10 ** lower[suffix], len(below))
-        automaton.keys[k], automaton.arc[k] = key, np.log10(p)
-        automaton.back[k - 1] = np.log10(np.maximum(1 - spared, 1e-12) / np.maximum(1 - given, 1e-12))
-        below, lower = n, automaton.arc[k]
-    return automaton, counts
+        hot = _with_back(_frequent(states[k], GRAMS, LEAST), backs, k)
+        prefix, suffix, key, arc, back = _columns(hot, "prefix", "suffix", "key", "arc", "back")
+        at = [_found(hashed, c.view(np.uint64)) for c in (prefix, suffix)]
+        both = (at[0] >= 0) & (at[1] >= 0)
+        number = by_hash[at[0][both]] * _BASE + last[by_hash[at[1][both]]]
+        ranked = np.argsort(number)
+        automaton.keys[k], automaton.arc[k], automaton.back[k] = number[ranked], arc[both][ranked], back[both][ranked]
+        key = key.view(np.uint64)[both][ranked]
+        by_hash = np.argsort(key)
+        hashed, last = key[by_hash], automaton.keys[k] % _BASE
+    return automaton, table
+
+
+def _columns(frame: DataFrame, *names: str) -> list[np.ndarray]:
+    found = frame.select(*names).toArrow()
+    return [found.column(c).to_numpy().copy() for c in names]
+
+
+def _with_back(frame: DataFrame, backs: dict[int, DataFrame], k: int) -> DataFrame:
+    """``frame`` (key, ..) of order k with the failure weights ``back``, 0 where no arc leaves."""
+    if k not in backs:
+        return frame.withColumn("back", F.lit(0.0))
+    return frame.join(backs[k], "key", "left").withColumn("back", F.coalesce("back", F.lit(0.0)))
+
+
+def _gains(states: dict[int, DataFrame], backs: dict[int, DataFrame], k: int) -> DataFrame:
+    """(key, n, gain) of order k."""
+    rows = _with_back(states[k], backs, k)
+    if k == 1:
+        return rows.select("key", "n", (F.log10(F.col("n") + 1.0) + F.col("back")).alias("gain"))
+    failing = backs[k - 1].select(F.col("key").alias("prefix"), F.col("back").alias("failure"))
+    return rows.join(failing, "prefix").select(
+        "key", F.lit(None).cast("long").alias("n"), (F.col("arc") - F.col("lower") - F.col("failure") + F.col("back")).alias("gain")
+    )
 
 
 def _traverse(shared):
@@ -248,10 +347,17 @@ def _traverse(shared):
             for found in words(batch.column("text")):
                 tokens, bounds = sequences(found)
                 doc = np.repeat(np.arange(found.n_docs), np.diff(bounds))
-                at, log_p = automaton.log_probabilities(tokens)
+                at, log_p, grams = automaton.walked(tokens)
                 here = at >= 0
                 log_c = automaton.log_counts(at)
-                rest, rest_doc = tokens[~here], doc[~here]
+                rests, rest_docs = [tokens[~here]], [doc[~here]]
+                for n, (places, _, _, key) in enumerate(ngrams(tokens, automaton.order), 2):
+                    cold = grams[n][places] < 0 if n in grams else np.ones(len(places), dtype=bool)
+                    rests.append(key[cold])
+                    rest_docs.append(doc[places[cold]])
+                rest, rest_doc = np.concatenate(rests), np.concatenate(rest_docs)
+                possible = may_hold(automaton.filter, rest)
+                rest, rest_doc = rest[possible], rest_doc[possible]
                 order = np.lexsort((rest, rest_doc))
                 rest, rest_doc = rest[order], rest_doc[order]
                 new = np.ones(len(rest), dtype=bool)
@@ -273,7 +379,7 @@ def _traverse(shared):
     return run
 
 
-def score(docs: DataFrame, automaton: Automaton, counts: DataFrame) -> DataFrame:
+def score(docs: DataFrame, automaton: Automaton, gains: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every row of ``docs`` (doc_id, text).
 
     Tokens are words with A-Z as a-z, then one end. base_score is the log10 probability under
@@ -292,11 +398,15 @@ def score(docs: DataFrame, automaton: Automaton, counts: DataFrame) -> DataFrame
         "walked",
     )
     rest = walked.select("row", F.explode(F.arrays_zip("rest", "times")).alias("r")).select(
-        "row", F.col("r.rest").alias("token"), F.col("r.times").alias("times")
+        "row", F.col("r.rest").alias("key"), F.col("r.times").alias("times")
     )
     known = (
-        rest.join(counts, "token")
-        .groupBy("row").agg(F.sum("times").alias("n_rest"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("log_rest"))
+        rest.join(gains, "key")
+        .groupBy("row").agg(
+            F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("n_rest"),
+            F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("log_rest"),
+            F.sum(F.col("times") * F.col("gain")).alias("gained"),
+        )
     )
     gone = F.col("n_tokens") - F.col("n_here")
     log_rest = F.coalesce("log_rest", F.lit(0.0))
@@ -304,5 +414,5 @@ def score(docs: DataFrame, automaton: Automaton, counts: DataFrame) -> DataFrame
         "doc_id", "n_tokens",
         (F.col("n_here") + F.coalesce("n_rest", F.lit(0))).alias("n_known"),
         (F.col("log_c") + log_rest - F.col("n_tokens") * total).alias("base_score"),
-        (F.col("log_p") + log_rest - gone * total).alias("score"),
+        (F.col("log_p") + F.coalesce("gained", F.lit(0.0)) - gone * total).alias("score"),
     )

@@ -14,8 +14,8 @@ FOLDS, HELD_OUT = 7, 2
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log10 probability of every document, learned from six of seven folds."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    automaton, counts = learn(docs, fold("doc_id", FOLDS) != HELD_OUT)
-    return score(docs, automaton, counts).select(
+    automaton, gains = learn(docs, fold("doc_id", FOLDS) != HELD_OUT)
+    return score(docs, automaton, gains).select(
         "doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "n_tokens", "n_known",
         F.lit(automaton.n_tokens).cast("long").alias("train_tokens"), "base_score", "score",
     )

@@ -75,3 +75,40 @@ def test_empty_tables(spark):
     assert lm.score(empty, automaton, counts).collect() == []
     docs = frames.documents(spark, [frames.row(1, "a b")])
     assert [tuple(r) for r in lm.score(docs, automaton, counts).collect()] == [(1, 3, 0, 0.0, 0.0)]
+
+
+def brute_scores(learned, scored):
+    """Backoff scores by dictionaries over all n-grams of LEAST or more."""
+    padded = lambda text: [END, *tokens(text)]
+    one = Counter(w for t in learned for w in tokens(t))
+    counts = [Counter(tuple(s[i : i + n]) for t in learned for s in [padded(t)] for i in range(len(s) - n + 1)) for n in (2, 3)]
+    kept = {g: c for found in counts for g, c in found.items() if c >= lm.LEAST}
+    total = sum(one.values()) + len(one) + 1
+    above = lambda h: one[h[0]] if len(h) == 1 else kept[h]
+    arc = lambda g: (kept[g] - lm.DISCOUNT) / above(g[:-1])
+    lower = lambda g: (one[g[1]] + 1) / total if len(g) == 2 else arc(g[1:])
+    leaving = {}
+    for g in kept:
+        leaving.setdefault(g[:-1], []).append(g)
+    back = {h: max(1 - sum(map(arc, gs)), 1e-12) / max(1 - sum(map(lower, gs)), 1e-12) for h, gs in leaving.items()}
+
+    def p(w, h):
+        if not h:
+            return (one[w] + 1) / total
+        return arc((*h, w)) if (*h, w) in kept else back.get(h, 1.0) * p(w, h[1:])
+
+    return [sum(math.log10(p(s[i], tuple(s[max(0, i - 2) : i]))) for i in range(1, len(s))) for s in map(padded, scored)]
+
+
+@pytest.mark.parametrize(("hot_words", "hot_grams", "bits"), [(1 << 18, 1 << 18, 28), (20, 12, 28), (20, 12, 10), (1, 0, 10)])
+def test_all_ngrams_count_whatever_the_hot_part_holds(spark, monkeypatch, hot_words, hot_grams, bits):
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base[int(60 * rng.random() ** 2)] for _ in range(rng.randrange(0, 40))) for _ in range(150)]
+    monkeypatch.setattr(lm, "WORDS", hot_words)
+    monkeypatch.setattr(lm, "GRAMS", hot_grams)
+    monkeypatch.setattr(lm, "FILTER_BITS", bits)
+    docs = frames.documents(spark, [frames.row(k, t) for k, t in enumerate(texts)])
+    automaton, gains = lm.learn(docs, F.col("doc_id") < 120)
+    found = {r.doc_id: r.score for r in lm.score(docs, automaton, gains).collect()}
+    assert [found[k] for k in range(len(texts))] == pytest.approx(brute_scores(texts[:120], texts))
