@@ -3,8 +3,11 @@
 A text's terms are its distinct lower-cased words, punctuation apart, hashed to ``DIMENSION``
 columns. The machine adds a weight per term and, for each pair of terms, the product of their
 ``FACTORS``-dimensional vectors, so a pair can weigh what neither term does alone. Terms of fewer
-than ``MIN_TEXTS`` sampled texts, and terms that tell the classes apart no better than chance
-(below ``MIN_CHI`` in the chi-square statistic), have no column, so long texts don't drown in noise.
+than ``MIN_TEXTS`` sampled texts have no column, nor have those that tell the classes apart no better
+than chance, so long texts don't drown in noise: a term tells by itself (``MIN_CHI`` in the chi-square
+statistic, or half of the number of texts in small samples), or in a pair with another, if texts with
+both differ from all texts, and from those with either (``MIN_PAIR`` in the likelihood ratio, which is
+higher because all pairs are tried).
 
 It is fitted on the driver on a bounded, documented sample of labelled rows (``SAMPLE``, chosen by
 hash): their terms are extracted by Spark, and at most ``MAX_TERMS`` pairs of row and column come back.
@@ -27,7 +30,7 @@ FACTORS = 4
 #: Labelled rows that the machine is fitted on, at most about so many.
 SAMPLE = 12_000
 MAX_TERMS = 20_000_000
-MIN_TEXTS, MIN_CHI = 4, 25.0
+MIN_TEXTS, MIN_CHI, MIN_PAIR = 4, 25.0, 40.0
 EPOCHS, BATCH, RATE, PENALTY = 30, 256, 0.05, 1e-3
 
 
@@ -78,6 +81,49 @@ def _probability(bias, weights, vectors, row, text, n):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30))), summed
 
 
+def _ratio(k: np.ndarray, m: np.ndarray, rate: np.ndarray | float) -> np.ndarray:
+    """Likelihood ratio of k out of m against a rate."""
+    rate = np.clip(rate, 1e-9, 1 - 1e-9)
+    part = lambda x, share: x * np.log(np.maximum(x, 1e-300) / (m * share))
+    return 2 * (part(k, rate) + part(m - k, 1 - rate))
+
+
+def telling_in_pairs(labels: np.ndarray, terms: np.ndarray, bounds: np.ndarray, seen: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """The columns of terms that tell the classes apart in a pair; each pair that occurs together is looked at."""
+    n, share = len(labels), labels.mean() if len(labels) else 0.0
+    if not 0 < share < 1:
+        return np.empty(0, np.int64)
+    # texts that the ratio needs even if all are of the rarer class
+    least = max(MIN_TEXTS, int(np.ceil(MIN_PAIR / (-2 * np.log(min(share, 1 - share))))))
+    columns = np.flatnonzero(seen >= least)
+    columns = columns[np.argsort(seen[columns], kind="stable")]
+    rank_of = np.full(len(seen), -1, dtype=np.int64)
+    rank_of[columns] = np.arange(len(columns))
+    text, rank = np.repeat(np.arange(n), np.diff(bounds)), rank_of[terms]
+    text, rank = text[rank >= 0], rank[rank >= 0]
+    order = np.lexsort((rank, text))
+    text, rank = text[order], rank[order]
+    ends = np.searchsorted(text, np.arange(n), side="right")[text]
+    coded = rank * 2 + labels[text].astype(np.int64)
+    by_rank = np.argsort(rank, kind="stable")
+    edge = np.searchsorted(rank[by_rank], np.arange(len(columns) + 1))
+    rates = toxic[columns] / np.maximum(seen[columns], 1)
+    found = np.zeros(len(columns), dtype=bool)
+    for r in range(len(columns)):
+        # from the rarest on: each text's terms that are more frequent
+        at = by_rank[edge[r] : edge[r + 1]]
+        sizes = ends[at] - at - 1
+        others = coded[np.repeat(at + 1 - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())] - 2 * (r + 1)
+        clean_toxic = np.bincount(others, minlength=2 * (len(columns) - r - 1)).reshape(-1, 2)
+        m = clean_toxic.sum(axis=1)
+        often = np.flatnonzero(m >= least)
+        m, k, other = m[often], clean_toxic[often, 1], often + r + 1
+        tells = np.minimum(np.minimum(_ratio(k, m, share), _ratio(k, m, rates[r])), _ratio(k, m, rates[other])) >= MIN_PAIR
+        found[other[tells]] = True
+        found[r] |= tells.any()
+    return columns[found]
+
+
 def train(labels: np.ndarray, terms: np.ndarray, bounds: np.ndarray) -> Machine:
     """Fits a machine by AdaGrad on rows of distinct terms."""
     n = len(labels)
@@ -88,7 +134,9 @@ def train(labels: np.ndarray, terms: np.ndarray, bounds: np.ndarray) -> Machine:
     expected = seen * share
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = (toxic - expected) ** 2 / (expected * (1 - share) * (1 - seen / max(n, 1)))
-    kept = np.flatnonzero((seen >= MIN_TEXTS) & (np.nan_to_num(chi, posinf=np.inf) >= MIN_CHI))
+    tells = np.nan_to_num(chi, posinf=np.inf) >= min(MIN_CHI, n / 2)
+    tells[telling_in_pairs(labels, terms, bounds, seen, toxic)] = True
+    kept = np.flatnonzero((seen >= MIN_TEXTS) & tells)
     row_of = np.full(DIMENSION, -1, dtype=np.int32)
     row_of[kept] = np.arange(len(kept))
     bias = float(np.log((share * n + 1) / ((1 - share) * n + 1)))

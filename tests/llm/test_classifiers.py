@@ -26,6 +26,26 @@ def test_machine_learns_a_pair_that_neither_term_shows():
     assert right.mean() > 0.95
 
 
+def test_pair_is_learned_among_other_terms_with_the_fixed_values():
+    rng = np.random.default_rng(4)
+    n = 4000
+    a, b = rng.random(n) < 0.5, rng.random(n) < 0.5
+    labels = (a ^ b).astype(float)
+    rows = [np.unique(np.append([1 + int(x), 3 + int(y)], 10 + (5000 * rng.random(100) ** 2).astype(int))) for x, y in zip(a, b, strict=True)]
+    bounds = lambda part: np.cumsum([0, *map(len, part)])
+    machine = toxicity.train(labels[:3000], np.concatenate(rows[:3000]).astype(np.int32), bounds(rows[:3000]))
+    assert set(np.flatnonzero(machine.row_of >= 0)) >= {1, 2, 3, 4}
+    right = (machine.scores(np.concatenate(rows[3000:]), bounds(rows[3000:])) >= 0.5) == (labels[3000:] > 0)
+    assert right.mean() > 0.95
+
+
+def test_few_labelled_rows_keep_a_telling_term():
+    labels = np.array([1.0] * 8 + [0.0] * 12)
+    terms = np.array([1] * 8 + [2] * 12, dtype=np.int32)
+    machine = toxicity.train(labels, terms, np.arange(21))
+    assert (machine.scores(terms, np.arange(21)) >= 0.5).tolist() == (labels > 0).tolist()
+
+
 def test_toxicity_held_out_and_awkward(spark):
     rng = random.Random(9)
     rows, labels = [], []
