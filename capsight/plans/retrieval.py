@@ -85,7 +85,7 @@ def _vector(spark: SparkSession, sf_dir: str, kept: int, every: int) -> DataFram
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten vectors nearest to every twentieth one: the query set, at most QUERY_BOUND, against all rows."""
+    """The ten vectors nearest to every twentieth one: the query set, in blocks of about QUERY_BOUND, against all rows."""
     return _vector(spark, sf_dir, KEPT, 20).withColumn("score", F.round("score", 6))
 
 

@@ -74,3 +74,19 @@ def test_chunks_pack_and_overlap():
 def test_queries_outside_the_whitelist_are_refused(query):
     with pytest.raises(evidence.InvalidQuery):
         evidence.EvidenceQuery(**query)
+
+
+def test_queries_beyond_the_bound_go_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(knowledge, "QUERY_BOUND", 5)
+    vectors = [[float(k % 7 + 1), float(k % 5), float(k % 3) - 1] for k in range(30)]
+    frame = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    asked = frame.where("vec_id % 2 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    scores = knowledge.vector_scores(frame, "vec_id", "embedding", asked).withColumn("score", F.round("score", 9))
+    found = {(r["query_id"], r["rank"]): r["vec_id"] for r in knowledge.top(scores, "vec_id", 4, True).collect()}
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    cosine = lambda v, w: round(sum(x * y for x, y in zip(v, w, strict=True)) / norm(v) / norm(w), 9)
+    expected = {}
+    for q in range(0, 30, 2):
+        best = sorted(range(30), key=lambda k: (-cosine(vectors[q], vectors[k]), k))[:4]
+        expected |= {(q, rank): k for rank, k in enumerate(best, 1)}
+    assert found == expected
