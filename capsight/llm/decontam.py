@@ -4,7 +4,10 @@ Each mask of ``MASKS`` picks some token positions of a span and ignores the othe
 substituted token spoils only the seeds that look at it. The seeds of the benchmark's items are a
 hash table; a text's seeds are looked up in it, and each hit fixes an item and a diagonal. Along
 that diagonal the overlap is verified: the segment of highest score (1 per equal token, -2 per
-substituted one) must hold ``MIN_EQUAL`` equal tokens (or all but a fifth of a shorter item).
+substituted one) must hold ``MIN_EQUAL`` equal tokens (or all but a fifth of a shorter item), or the
+whole item must have four fifths of its tokens there, wherever the substituted ones stand. An item of
+that share has ``RUN`` equal tokens in a row, so runs are seeds too, which only this second rule looks
+at. Items shorter than ``SHORT`` tokens count where all of their tokens stand in a row.
 
 The benchmark goes to the tasks in blocks of at most about ``BLOCK_TOKENS`` tokens, one broadcast
 and one pass over the documents each, so memory is bounded for any benchmark. Documents are never
@@ -27,6 +30,7 @@ from capsight.llm.text import Words, mix, plain_words
 #: 1 looks at the token, 0 ignores it.
 MASKS = ("11010111", "1110010011", "1011001101")
 MIN_EQUAL = 12
+RUN, SHORT = 3, 8
 MISMATCH = 2
 BLOCK_TOKENS = 500_000
 _BITS = 20
@@ -46,7 +50,7 @@ def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Seeds of benchmark items, sorted, with their item and place; the items' tokens; a bit per seed."""
+    """Seeds of benchmark items, sorted, with their item and place; the items' tokens; a bit per seed; the masks of them."""
 
     keys: np.ndarray
     items: np.ndarray
@@ -55,20 +59,24 @@ class Index:
     tokens: np.ndarray
     bounds: np.ndarray
     bits: np.ndarray
+    masks: tuple[str, ...]
 
 
 def build(item_ids: list[int], texts: pa.Array) -> Index:
-    """The index of the given items; an item shorter than the shortest mask has no seed and is never found."""
+    """The index of the given items; those shorter than a run have the seed of their length, and without tokens none."""
     parts = list(plain_words(texts))
     tokens = np.concatenate([p.hashes for p in parts] or [np.empty(0, np.uint64)])
     sizes = np.concatenate([np.diff(p.bounds) for p in parts] or [np.empty(0, np.int64)])
     bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     owner = np.repeat(np.arange(len(sizes)), sizes)
+    masks = MASKS + tuple("1" * n for n in range(1, RUN + 1) if n == RUN or (sizes == n).any())
     keys, items, places = [], [], []
-    for mask in MASKS:
+    for mask in masks:
         key = seeds(tokens, mask)
         start = np.arange(len(key))
         whole = start + len(mask) <= bounds[owner[start] + 1] if len(key) else np.zeros(0, bool)
+        if len(key) and len(mask) < RUN:
+            whole &= sizes[owner[start]] == len(mask)
         keys.append(key[whole])
         items.append(owner[start[whole]] if len(key) else np.empty(0, np.int64))
         places.append(start[whole])
@@ -77,7 +85,7 @@ def build(item_ids: list[int], texts: pa.Array) -> Index:
     bits = np.zeros(1 << _BITS, dtype=bool)
     bits[keys >> np.uint64(64 - _BITS)] = True
     places = places - bounds[items] if len(items) else places
-    return Index(keys[order], items[order], places[order], np.array(item_ids, dtype=np.int64), tokens, bounds, bits)
+    return Index(keys[order], items[order], places[order], np.array(item_ids, dtype=np.int64), tokens, bounds, bits, masks)
 
 
 def best_segment(equal: np.ndarray) -> tuple[int, int]:
@@ -89,11 +97,37 @@ def best_segment(equal: np.ndarray) -> tuple[int, int]:
     return start, end
 
 
+def _least(n: np.ndarray | int) -> np.ndarray | int:
+    """Equal tokens that the whole of an item of n tokens needs."""
+    return np.where(np.less(n, SHORT), n, -(-4 * n // 5))
+
+
+def _mostly_equal(found: Words, index: Index, diagonals: np.ndarray) -> np.ndarray:
+    """Whether each diagonal (document, item, shift) has the equal tokens that the whole item needs."""
+    out = np.zeros(diagonals.shape[1], dtype=bool)
+    sizes = np.diff(index.bounds)[diagonals[1]]
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(sizes):  # some million tokens at a time
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + (1 << 21))))
+        doc, item, shift = diagonals[:, start:stop]
+        n = sizes[start:stop]
+        which = np.repeat(np.arange(stop - start), n)
+        place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        word = found.bounds[doc[which]] + shift[which] + place
+        inside = (place + shift[which] >= 0) & (word < found.bounds[doc[which] + 1])
+        equal = np.zeros(len(which), dtype=bool)
+        equal[inside] = found.hashes[word[inside]] == index.tokens[index.bounds[item[which[inside]]] + place[inside]]
+        out[start:stop] = np.bincount(which, equal, stop - start) >= _least(n)
+        start = stop
+    return out
+
+
 def hits(found: Words, index: Index) -> dict[int, dict[int, tuple[int, int, int, int]]]:
     """document -> item -> (equal tokens, length, first word, item's first word) of its best verified overlap."""
     docs = found.doc_of_word()
     seen = []
-    for mask in MASKS:
+    for mask in index.masks:
         key = seeds(found.hashes, mask)
         start = np.flatnonzero(index.bits[key >> np.uint64(64 - _BITS)])
         start = start[start + len(mask) <= found.bounds[docs[start] + 1]] if len(start) else start
@@ -101,7 +135,8 @@ def hits(found: Words, index: Index) -> dict[int, dict[int, tuple[int, int, int,
         n = np.searchsorted(index.keys, key[start], side="right") - lo
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
         word = np.repeat(start, n)
-        seen.append(np.stack([docs[word], index.items[at], word - found.bounds[docs[word]] - index.places[at]]))
+        diagonal = np.stack([docs[word], index.items[at], word - found.bounds[docs[word]] - index.places[at]])
+        seen.append(diagonal if mask in MASKS else diagonal[:, _mostly_equal(found, index, diagonal)])
     out: dict[int, dict[int, tuple[int, int, int, int]]] = {}
     diagonals = np.unique(np.concatenate(seen, axis=1), axis=1) if seen else np.empty((3, 0), np.int64)
     for doc, item, shift in diagonals.T:
@@ -111,7 +146,11 @@ def hits(found: Words, index: Index) -> dict[int, dict[int, tuple[int, int, int,
         equal = own[first + shift : last + shift] == asked[first:last]
         lo, hi = best_segment(equal)
         n_equal = int(equal[lo:hi].sum())
-        if n_equal >= min(MIN_EQUAL, -(-4 * len(asked) // 5)):
+        least = _least(len(asked))
+        if n_equal < min(MIN_EQUAL, least) and equal.sum() >= least:
+            lo, hi = int(np.argmax(equal)), len(equal) - int(np.argmax(equal[::-1]))
+            n_equal = int(equal.sum())
+        if n_equal >= min(MIN_EQUAL, least):
             match = (n_equal, hi - lo, int(first + shift + lo), int(first + lo))
             best = out.setdefault(int(doc), {})
             key = int(index.item_ids[item])

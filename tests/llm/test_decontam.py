@@ -59,3 +59,33 @@ def test_matches_all_diagonals(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(frame, benchmark).collect()} == expected
     assert decontam.contaminated(frames.empty(spark), benchmark).collect() == []
     assert decontam.contaminated(frame, benchmark.limit(0)).collect() == []
+
+
+def test_finds_all_items_of_four_fifths_without_asking_for_seeds(spark):
+    rng = random.Random(12)
+    sizes = [1, 2, 3, 5, 7, 8, 9, 10, 12, 15, 16, 20, 25, 40]
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(n))) for k, n in enumerate(sizes)]
+    docs = []
+    for k, (_, text) in enumerate(items):
+        n = sizes[k]
+        for t in range(12):
+            w = text.split()
+            for j in rng.sample(range(n), min(n, n // 5 + (t % 4 == 3))) if n >= 8 or t % 4 == 3 else []:
+                w[j] = "sub"
+            if t % 4 == 3 and n < 8:
+                w[rng.randrange(n)] = "sub"
+            docs.append(frames.row(100 * k + t, " ".join([frames.prose(rng, t), *w, frames.prose(rng, 3)])))
+    expected = set()
+    for d, text, *_ in docs:
+        w = tokens(text)
+        for i, asked in items:
+            q = tokens(asked)
+            most = max(sum(0 <= j + s < len(w) and w[j + s] == x for j, x in enumerate(q)) for s in range(-len(q), len(w)))
+            if most >= (len(q) if len(q) < 8 else 0.8 * len(q)):
+                expected.add((d, i))
+    assert len(expected) >= 9 * len(items)
+    frame, benchmark = frames.documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.contaminated(frame, benchmark).collect()}
+    assert expected <= found
+    assert {(d, i) for d, i in found if sizes[i] < 15} == {(d, i) for d, i in expected if sizes[i] < 15}
+    assert {r.doc_id for r in decontam.clean(frame, benchmark).collect()} == {r[0] for r in docs} - {d for d, _ in found}
