@@ -27,8 +27,8 @@ def _let(value: Column, body) -> Column:
 def anchors(text: Column) -> Column:
     """Anchors of a text as an array of (position of the first word, hash), in order.
 
-    A text of fewer than K words has one anchor, the hash of all its words; one without words, or
-    null, has none.
+    A text of fewer than K words, or in which no k-mer is chosen, has one anchor, the hash of all its
+    words; one without words, or null, has none.
     """
     split = F.array_remove(F.split(F.coalesce(text, F.lit("")), _SPACE), "")
     pair = "struct<at:int,hash:int>"
@@ -56,7 +56,9 @@ def anchors(text: Column) -> Column:
             F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))),
             lambda a, b: F.xxhash64(a, b),
         )
-        return F.when(n == 0, F.array().cast(f"array<{pair}>")).when(n < K, whole).otherwise(_let(inner, of_inner))
+        return F.when(n == 0, F.array().cast(f"array<{pair}>")).when(n < K, whole).otherwise(
+            _let(_let(inner, of_inner), lambda found: F.when(F.size(found) == 0, whole).otherwise(found))
+        )
 
     return _let(split, of_words)
 

@@ -60,6 +60,15 @@ def test_anchors_are_closed_syncmers(spark):
     assert [a["at"] for a in row.anchors] == expected
 
 
+def test_every_text_with_words_has_an_anchor(spark):
+    rng = random.Random(18)
+    rows = [frames.row(100 * n + k, frames.prose(rng, n)) for n in range(1, 12) for k in range(60)]
+    found = {r.doc_id: r.anchors for r in syncmers.fingerprints(frames.documents(spark, rows)).collect()}
+    assert all(found.values())
+    short = [tuple(a["hash"] for a in found[100 * n + k]) for n in (6, 7, 8) for k in range(60)]
+    assert len(set(short)) == len(short)
+
+
 def brute_targets(sizes):
     """The excess over each cap, shared again by weight until none is above."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode("utf-8")) + [s for s in sizes if s is None]
