@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capsight.llm.spark import written
+from capsight.llm.spark import discard, written
 
 MAX_ROUNDS = 40
 
@@ -55,7 +55,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     )
     before = _digest(now)
     for _ in range(MAX_ROUNDS):
-        now = written(_small_star(_large_star(now)), "edges")
+        last, now = now, written(_small_star(_large_star(now)), "edges")
+        discard(last)
         after = _digest(now)
         if after == before:
             break

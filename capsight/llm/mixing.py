@@ -1,16 +1,13 @@
 """Mixing sources to target weights by systematic sampling, in DataFrame operations only.
 
 Each document of a source has the same expected number of copies, target / source size. Prefix
-sums of expected copies run through a source in order of size (to an eighth), one random offset is
-added, and a document is emitted once for each integer boundary that its part of the sum crosses.
-
-A few documents may hold much of a source, and whole copies of them miss its target. So a source
-goes in ``TIERS``: first the documents of more than a 16th of its size, then a 128th, and so on. Each
-tier's expected copies aim at what the tiers before left of the target, with an offset of its own.
+sums of expected copies run through a source from its longest document to its shortest, one random
+offset is added, and a document is emitted once for each integer boundary that its part of the sum
+crosses. In that order what a source gives misses its target by about its longest document at most.
 
 Expected copies are whole multiples of 2**-20, so sums are exact in any order and reruns agree.
-The prefix sums come in three levels - size class within the source, salt within the size class,
-document within the salt - so no task holds more than one salt of one size class of a source.
+The prefix sums come in two levels - cells of a size class (to an eighth) and a salt, in order
+within the source, and documents within their cell - so no task holds more than one cell's documents.
 """
 
 from __future__ import annotations
@@ -23,8 +20,6 @@ from capsight.llm.spark import written
 UNIT = 1 << 20
 SALTS = 1024
 MOST = 3
-#: A document is of the first tier whose part of its source's size it exceeds, else of the last.
-TIERS = (16, 128, 1024)
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -78,81 +73,36 @@ def mix(docs: DataFrame, seed: int = 1, carried: tuple[str, ...] = ()) -> DataFr
         "sized",
     )
     totals = sized.groupBy("source").agg(F.sum("_size").alias("source_size"))
-    left = written(
-        targets(totals).select(
-            "source", "source_size", "target", F.col("target").alias("_target_left"), F.col("source_size").alias("_size_left")
-        ),
-        "targets",
-    )
-    parts = []
-    for tier in range(len(TIERS) + 1):
-        part = _taken(_tier(sized, left, tier), seed, tier)
-        parts.append(part)
-        if tier < len(TIERS):
-            done = part.groupBy("source").agg(F.sum("_size").alias("_done"), F.sum(F.col("_size") * F.col("copies")).alias("_got"))
-            left = written(_remaining(left, done), "targets")
+    unit = F.when(F.col("source_size") > 0, F.round(F.col("target") * UNIT / F.col("source_size"))).otherwise(F.lit(0.0))
+    aimed = written(targets(totals).withColumn("_unit", unit.cast("long")).withColumnRenamed("source", "_source"), "targets")
+    rows = sized.join(aimed, sized["source"].eqNullSafe(aimed["_source"])).drop("_source")
     names = ["doc_id", "source", F.col("_size").alias("size"), "source_size", "target", "copies"]
     names += [F.col(f"_carried_{c}").alias(c) for c in carried]
-    out = parts[0].select(*names)
-    for part in parts[1:]:
-        out = out.union(part.select(*names))
-    return out
-
-
-def _remaining(left: DataFrame, done: DataFrame) -> DataFrame:
-    """What each source has still to give and to get after a tier."""
-    done = done.withColumnRenamed("source", "_source")
-    return left.join(done, left["source"].eqNullSafe(done["_source"]), "left").select(
-        "source", "source_size", "target",
-        (F.col("_target_left") - F.coalesce("_got", F.lit(0))).alias("_target_left"),
-        (F.col("_size_left") - F.coalesce("_done", F.lit(0))).alias("_size_left"),
-    )
+    return _taken(rows, seed).select(*names)
 
 
-def _tier(sized: DataFrame, left: DataFrame, tier: int) -> DataFrame:
-    """The rows of one tier, with their expected copies in units."""
-    unit = F.least(F.greatest(F.round(F.col("_target_left") * UNIT / F.col("_size_left")), F.lit(0.0)), F.lit(float(MOST * UNIT)))
-    aimed = left.select(
-        F.col("source").alias("_source"), "source_size", "target",
-        F.when(F.col("_size_left") > 0, unit).otherwise(F.lit(0.0)).cast("long").alias("_unit"),
-    )
-    of_tier = F.lit(len(TIERS))
-    for number, part in reversed(list(enumerate(TIERS))):
-        of_tier = F.when(F.col("_size") * part > F.col("source_size"), number).otherwise(of_tier)
-    rows = sized.join(aimed, sized["source"].eqNullSafe(aimed["_source"])).drop("_source").where(of_tier == tier)
-    return rows.withColumn("_expected", F.when(F.col("_size") > 0, F.col("_unit")).otherwise(F.lit(0))).drop("_unit")
-
-
-def _taken(rows: DataFrame, seed: int, tier: int) -> DataFrame:
+def _taken(rows: DataFrame, seed: int) -> DataFrame:
     """``rows`` with ``copies``: the integer boundaries that each one's part of its source's prefix sum crosses."""
     bits = F.length(F.bin("_size"))
     size_class = bits * 16 + F.expr("shiftright(_size, greatest(length(bin(_size)) - 4, 0))").cast("int")
-    offset = _number(F.concat_ws(":", F.lit(f"{seed}:{tier}"), F.coalesce("source", F.lit(""))), UNIT)
+    offset = _number(F.concat_ws(":", F.lit(str(seed)), F.coalesce("source", F.lit(""))), UNIT)
     rows = (
-        rows.withColumn("_class", size_class)
+        rows.withColumn("_expected", F.when(F.col("_size") > 0, F.col("_unit")).otherwise(F.lit(0)))
+        .withColumn("_class", size_class)
         .withColumn("_salt", _number(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), SALTS))
         # what joins and windows go by: null sources are a group like any other
         .withColumn("_group", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     )
-    salts = rows.groupBy("_group", "_class", "_salt").agg(F.sum("_expected").alias("_sum"))
-    classes = salts.groupBy("_group", "_class").agg(F.sum("_sum").alias("_sum"))
-    in_source = Window.partitionBy("_group").orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
-    in_class = Window.partitionBy("_group", "_class").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    cell = ["_group", "_class", "_salt"]
+    before = Window.partitionBy("_group").orderBy(F.desc("_class"), "_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        salts.withColumn("_in_class", F.coalesce(F.sum("_sum").over(in_class), F.lit(0))).drop("_sum")
-        .join(
-            classes.select("_group", "_class", F.coalesce(F.sum("_sum").over(in_source), F.lit(0)).alias("_before")),
-            ["_group", "_class"],
-        )
-        .select("_group", "_class", "_salt", (F.col("_before") + F.col("_in_class")).alias("_start"))
-    )
-    in_salt = (
-        Window.partitionBy("_group", "_class", "_salt").orderBy("_size", "doc_id")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows.groupBy(*cell).agg(F.sum("_expected").alias("_sum"))
+        .select(*cell, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
     )
-    end = F.col("_start") + F.sum("_expected").over(in_salt) + offset
+    in_cell = Window.partitionBy(*cell).orderBy(F.desc("_size"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.col("_start") + F.sum("_expected").over(in_cell) + offset
     crossed = F.floor(F.col("_end") / UNIT) - F.floor((F.col("_end") - F.col("_expected")) / UNIT)
-    return rows.join(starts, ["_group", "_class", "_salt"]).withColumn("_end", end).withColumn("copies", crossed.cast("long"))
+    return rows.join(starts, cell).withColumn("_end", end).withColumn("copies", crossed.cast("long"))
 
 
 def emitted(mixed: DataFrame) -> DataFrame:

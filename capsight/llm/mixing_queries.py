@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capsight.llm.mixing import MOST, SALTS, TIERS, UNIT, mix
+from capsight.llm.mixing import MOST, SALTS, UNIT, mix
 from capsight.llm.spark import table
 
 
@@ -18,28 +18,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op9_mixing": op9_mixing}
 
-_TIER_OF = " ".join(f"WHEN size * {part} > source_size THEN {tier}" for tier, part in enumerate(TIERS))
-_TIER_STEPS = ",".join(
-    f"""
-x{k} AS (
-  SELECT u.*, ('0x' || left(md5('1:{k}:' || coalesce(u.source, '')), 8))::BIGINT % {UNIT} AS shift,
-         CASE WHEN u.size > 0 AND size_left > 0
-              THEN least(greatest(round(target_left * {UNIT} / size_left), 0), {MOST * UNIT}) ELSE 0 END::BIGINT AS expected
-  FROM u JOIN l{k} ON u.source IS NOT DISTINCT FROM l{k}.source WHERE tier = {k}),
-p{k} AS (
-  SELECT *, shift + sum(expected) OVER (PARTITION BY source ORDER BY class, salt, size, doc_id NULLS FIRST
-                                        ROWS UNBOUNDED PRECEDING) AS reached FROM x{k}),
-o{k} AS (
-  SELECT doc_id, source, size, source_size, target,
-         (size * (floor(reached / {UNIT}.0) - floor((reached - expected) / {UNIT}.0)))::BIGINT AS taken FROM p{k}),
-l{k + 1} AS (
-  SELECT l{k}.source, target_left - coalesce(got, 0) AS target_left, size_left - coalesce(done, 0) AS size_left
-  FROM l{k} LEFT JOIN (SELECT source, sum(size) AS done, sum(taken) AS got FROM o{k} GROUP BY 1) g
-    ON l{k}.source IS NOT DISTINCT FROM g.source)"""
-    for k in range(len(TIERS) + 1)
-)
-_TIER_UNION = " UNION ALL ".join(f"SELECT * FROM o{k}" for k in range(len(TIERS) + 1))
-
 OP9_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
@@ -56,13 +34,16 @@ t AS (
   SELECT source, source_size, least(cap::DOUBLE, coalesce((SELECT level FROM v) * weight, cap::DOUBLE)) AS target FROM h),
 u AS (
   SELECT d.*, t.source_size, t.target,
+         CASE WHEN size > 0 THEN round(t.target * {UNIT} / t.source_size) ELSE 0 END::BIGINT AS expected,
          length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 4, 0)) AS class,
          ('0x' || left(md5(coalesce(doc_id::VARCHAR, '')), 8))::BIGINT % {SALTS} AS salt,
-         CASE {_TIER_OF} ELSE {len(TIERS)} END AS tier
+         ('0x' || left(md5('1:' || coalesce(d.source, '')), 8))::BIGINT % {UNIT} AS shift
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-l0 AS (SELECT source, target AS target_left, source_size AS size_left FROM t),
-{_TIER_STEPS}
-SELECT doc_id, size, source_size, target, taken FROM ({_TIER_UNION})
+p AS (
+  SELECT *, shift + sum(expected) OVER (PARTITION BY source ORDER BY class DESC, salt, size DESC, doc_id NULLS FIRST
+                                        ROWS UNBOUNDED PRECEDING) AS reached FROM u)
+SELECT doc_id, size, source_size, target,
+       (size * (floor(reached / {UNIT}.0) - floor((reached - expected) / {UNIT}.0)))::BIGINT AS taken FROM p
 """
 
 ORACLE_SQL = {"op9_mixing": OP9_SQL}

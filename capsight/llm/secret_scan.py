@@ -12,7 +12,9 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,12 +29,13 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{32,}")
+#: A body runs to the next sign that it cannot hold, so each one is read once; line ends may be written out.
 _PEM = re.compile(
-    r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----\s*([A-Za-z0-9+/=\s]+?)\s*-----END \1-----", re.ASCII
+    r"-----BEGIN ((?:[A-Z0-9]++ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\[nr])*+)-----END \1-----", re.ASCII
 )
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
-_ANY_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
+_DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+){2,}+")
+_BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}+={0,2}")
+_ANY_HEX = re.compile(r"[0-9A-Fa-f]{64,}+")
 #: Texts without a match of this (in Arrow's linear-time matcher) have no span of any kind.
 _MAYBE = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{32}|eyJ|-----BEGIN|[A-Za-z0-9+/]{40}|[0-9A-Fa-f]{64}"
 
@@ -107,7 +110,7 @@ def is_openssh_key(data: bytes) -> bool:
 
 
 def _decoded(run: str, alphabet: bytes | None = None) -> bytes | None:
-    run = re.sub(r"\s", "", run)
+    run = re.sub(r"\s|\\[nr]", "", run)
     try:
         return base64.b64decode(run + "=" * (-len(run) % 4), altchars=alphabet, validate=True)
     except (binascii.Error, ValueError):
@@ -125,11 +128,37 @@ def _json_object(part: str) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
-def is_signed_token(token: str) -> bool:
-    """Whether three dot-separated parts are a signed token: a header that names its algorithm, claims, a signature."""
-    header, claims, signature = token.split(".")
+def is_signed_token(header: str, claims: str, signature: str) -> bool:
+    """Whether three parts are a signed token: a header that names its algorithm, claims, a signature."""
     found = _json_object(header)
-    return found is not None and isinstance(found.get("alg"), str) and _json_object(claims) is not None and _decoded(signature, b"-_") is not None
+    if found is None or not isinstance(found.get("alg"), str):
+        return False
+    return _json_object(claims) is not None and _decoded(signature, b"-_") is not None
+
+
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the signed tokens, leftmost first. Each part of a dotted run is decoded a bounded number of times."""
+    for run in _DOTTED.finditer(text):
+        parts = run[0].split(".")
+        starts = list(accumulate((len(p) + 1 for p in parts), initial=run.start()))
+        k = 0
+        while k + 2 < len(parts):
+            at = parts[k].find("eyJ")
+            if at >= 0 and is_signed_token(parts[k][at:], parts[k + 1], parts[k + 2]):
+                yield starts[k] + at, starts[k + 2] + len(parts[k + 2])
+                k += 3
+            else:
+                k += 1
+
+
+def _encoded(text: str) -> Iterator[tuple[int, int, bytes | None]]:
+    """(start, end, bytes) of the base64 and hex runs; of an odd number of hex digits, all but the last and all but the first."""
+    for m in _BASE64.finditer(text):
+        yield *m.span(), _decoded(m[0])
+    for m in _ANY_HEX.finditer(text):
+        for cut in range(1 + len(m[0]) % 2):
+            lo, hi = m.start() + cut, m.end() - len(m[0]) % 2 + cut
+            yield lo, hi, bytes.fromhex(text[lo:hi])
 
 
 def _is_key(data: bytes | None) -> bool:
@@ -142,11 +171,11 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
     found += [("access", *m.span()) for m in _ACCESS.finditer(text) if len(m[0]) >= 16]
     found += [("hex", *m.span()) for m in _LONG_HEX.finditer(text)]
     found += [("pem", *m.span()) for m in _PEM.finditer(text) if _is_key(_decoded(m[2]))]
-    found += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
-    taken = [(s, e) for kind, s, e in found if kind in ("pem", "jwt")]
-    runs = [(m.span(), _decoded(m[0])) for m in _BASE64.finditer(text)]
-    runs += [(m.span(), bytes.fromhex(m[0])) for m in _ANY_HEX.finditer(text) if len(m[0]) % 2 == 0]
-    der = {span for span, data in runs if _is_key(data) and not any(s < span[1] and span[0] < e for s, e in taken)}
+    found += [("jwt", *span) for span in _tokens(text)]
+    taken = sorted((s, e) for kind, s, e in found if kind in ("pem", "jwt"))
+    ends = [e for _, e in taken]
+    free = lambda s, e: (k := bisect_right(ends, s)) == len(taken) or taken[k][0] >= e
+    der = {(s, e) for s, e, data in _encoded(text) if _is_key(data) and free(s, e)}
     found += [("der", *span) for span in der]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
@@ -166,7 +195,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, spans array of (kind, start, end)) of every row of ``docs`` (doc_id, text).
 
     Spans are code points, end exclusive, by start and then kind; spans of different kinds may
-    overlap. A null or empty text has an empty array; equal rows give equal rows; a null doc_id
+    overlap. Time is in proportion to a text's length, whatever it holds. A null or empty text has an empty array; equal rows give equal rows; a null doc_id
     stays null. Other columns are not read. One narrow pass without a shuffle.
     """
     return docs.select("doc_id", "text").mapInArrow(

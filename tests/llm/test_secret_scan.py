@@ -1,7 +1,13 @@
 import base64
+import hashlib
 import json
 import random
+import re
+import time
 
+import pytest
+
+from capsight.llm.secret_queries import op2_secrets
 from capsight.llm.secret_scan import find_secrets, is_der_key, is_openssh_key, spans_of
 from tests.llm import frames
 
@@ -47,6 +53,74 @@ def test_base_spans_and_their_failures():
     assert spans_of("ſecret=abcdefgh") == []
 
 
+HOSTILE = {
+    "pem_spaces": "-----BEGIN PRIVATE KEY-----" + " " * 1_000_000,
+    "pem_begins": "-----BEGIN PRIVATE KEY-----AAAA " * 30_000,
+    "pem_labels": "-----BEGIN " + "A " * 500_000,
+    "jwt_heads": "eyJ" * 330_000,
+    "jwt_parts": "eyJ." * 250_000,
+    "jwt_headers": (part({"alg": "x"}) + ".") * 50_000,
+    "assign_spaces": "token" + " " * 1_000_000 + "token" * 100_000,
+    "assign_signs": "token=" * 160_000,
+    "base64": "A" * 1_000_001,
+    "short_runs": ("A" * 39 + " ") * 25_000,
+    "hex": "30" * 500_000 + "a",
+    "der_nested": base64.b64encode(b"\x30\x84\x00\x0b\x71\xb0" * 120_000).decode(),
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_megabyte_takes_linear_time(name):
+    began = time.perf_counter()
+    spans_of(HOSTILE[name])
+    assert time.perf_counter() - began < 2
+
+
+def test_planted_structures_are_found_and_nothing_else(spark, tmp_path):
+    rng = random.Random(3)
+    rows, expected = [], {}
+    for k in range(400):
+        key = rsa_key(rng)
+        body = base64.b64encode(key).decode()
+        lines = "\n".join(body[i : i + 64] for i in range(0, len(body), 64))
+        token = f"{part({'alg': 'RS256', 'kid': k})}.{part({'sub': str(k)})}.{base64.urlsafe_b64encode(rng.randbytes(32)).decode().rstrip('=')}"
+        noise = base64.b64encode(rng.randbytes(60)).decode()
+        whole = f"-----BEGIN RSA PRIVATE KEY-----\n{lines}\n-----END RSA PRIVATE KEY-----"
+        kind, secret = [
+            ("pem", whole), ("pem", whole.replace("\n", "\\n")), ("jwt", token), ("der", body), ("der", key.hex().upper()), ("der", key.hex().upper() + "A"),
+            (None, noise), (None, body[:-8]), (None, token.replace("eyJ", "eyK", 1)), (None, whole.replace("END RSA", "END EC")), 
+        ][k % 10]
+        head = frames.prose(rng, rng.randrange(0, 40)) + " é "
+        rows.append(frames.row(k, f"{head}{secret} {frames.prose(rng, 9)}"))
+        size = len(secret) - (k % 10 == 5)
+        expected[k] = [] if kind is None else [f"{kind}:{len(head)}:{len(head) + size}"]
+        if k % 10 == 9:  # the armour is broken, the key is split over lines: nothing decodes
+            expected[k] = []
+    frames.documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: [s for s in r.spans.split(",") if s.split(":")[0] in ("pem", "jwt", "der")] for r in op2_secrets(spark, str(tmp_path)).collect()}
+    assert found == expected
+
+
+def test_query_columns_match_brute_force(spark, tmp_path):
+    """Base spans by the patterns as stated, digest and counts of the registered query."""
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+    rng = random.Random(6)
+    bits = ["token", "=", ": ", "API_KEY", "apikey", "'", '"', "abcdefgh", "deadbeef" * 4, "AKIA", "A1" * 8, " ", "é", "Passwd", "x.y-z/", "0" * 31]
+    rows = [frames.row(k, "".join(rng.choice(bits) for _ in range(rng.randrange(30)))) for k in range(600)] + [frames.row(None, None)]
+    frames.documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    expected = {}
+    for doc, text, *_ in rows:
+        text = text or ""
+        spans = [(m.start(), 0, "assign", m.end()) for m in assign.finditer(text) if len(m[2]) >= 8]
+        spans += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        spans += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+        joined = ",".join(f"{kind}:{start}:{end}" for start, _, kind, end in sorted(spans))
+        n = [sum(s[2] == kind for s in spans) for kind in ("assign", "access", "hex")]
+        expected[doc] = (*n, hashlib.sha256(joined.encode()).hexdigest())
+    found = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in op2_secrets(spark, str(tmp_path)).collect()}
+    assert found == expected
+
+
 def test_awkward_rows(spark):
     rows = frames.awkward(random.Random(1)) + [frames.row(20, "é token=abcdefghi")]
     found = find_secrets(frames.documents(spark, rows))

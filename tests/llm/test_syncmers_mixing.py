@@ -104,7 +104,7 @@ def test_mix_meets_targets(spark):
     for source, target in expected.items():
         if sizes[source] and source is not None:
             largest = max(r["size"] for r in got if r.source == source)
-            assert abs(taken[source] - target) <= max(largest, 0.02 * target), source
+            assert abs(taken[source] - target) <= largest, source
     again = mixing.mix(docs.repartition(7)).collect()
     key = lambda r: (str(r.doc_id), r["size"], r.copies)
     assert sorted(map(key, again)) == sorted(map(key, got))
