@@ -90,10 +90,10 @@ def _grow(rows: list[tuple[Sequence[int], float, float]], depth: int) -> Leaf |
     return Split(feature, at, _grow(low, depth - 1), _grow(high, depth - 1))
 
 
-def train(names: Iterable[str], patterns: list[tuple[tuple[int, ...], int, int]]) -> Trees:
-    """Trees for (pattern, positive rows, negative rows); without rows every probability is a half."""
+def train(names: Iterable[str], patterns: list[tuple[tuple[int, ...], float, float]]) -> Trees:
+    """Trees for (pattern, positive rows, negative rows), which may be weighed; without rows every probability is a half."""
     names = tuple(names)
-    patterns = sorted(patterns)
+    patterns = sorted(p for p in patterns if p[1] or p[2])
     positive, negative = sum(p[1] for p in patterns), sum(p[2] for p in patterns)
     model = Trees(names, math.log((positive + 1) / (negative + 1)), [])
     margins = [model.bias] * len(patterns)
@@ -110,7 +110,7 @@ def train(names: Iterable[str], patterns: list[tuple[tuple[int, ...], int, int]]
     return model
 
 
-def threshold(model: Trees, patterns: list[tuple[tuple[int, ...], int, int]], precision: float) -> float:
+def threshold(model: Trees, patterns: list[tuple[tuple[int, ...], float, float]], precision: float) -> float:
     """The lowest probability from which the rows of the patterns are positive in at least this share; 1.1 if none is."""
     scored = sorted(((probability(model.margin(p)), pos, neg) for p, pos, neg in patterns), reverse=True)
     best, good, bad = 1.1, 0, 0

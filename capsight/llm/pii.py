@@ -5,10 +5,17 @@ greedy, and take no second try, so a card or phone beside another number can esc
 them high-recall generators propose spans that may overlap the base ones and each other: ``handle``
 (anything like name-at-domain, also written out), ``number`` (seven or more digits with
 separators), ``run`` (13 to 19 digits, or four groups of four) and ``plus`` (an international
-number of two, three or four groups). Boosted trees over format and context features learn, from
-all candidates of the corpus, which ones a base span confirms; a candidate that no base span
-covers is added if its probability reaches the threshold of its kind, the lowest one that on the
-calibration fold keeps ``PRECISION``.
+number of two, three or four groups). Boosted trees over format and context features select among
+the candidates that no base span covers.
+
+Labels don't come from what the base patterns match but from what they miss: each base span of the
+corpus is rewritten in its own context so that its pattern fails (``REWRITES``: written out, without
+its plus, run into another number), and a candidate that is exactly the rewritten span is positive.
+Decoys (no host, a broken check digit, a bare number) are negative. All other uncovered candidates
+are unlabelled: those that first trees score under nearly all positives of their kind are taken as
+negative, the rest teach nothing (the spy technique of learning from positive and unlabelled rows).
+A candidate is added if its probability reaches the threshold of its kind, the lowest one from
+``LEAST`` that on the calibration fold keeps ``PRECISION``.
 
 Positions come without a shuffle: ``split`` and ``regexp_extract_all`` walk over the same matches, so
 the lengths of pieces and matches add up to the starts. The patterns are possessive wherever that
@@ -17,7 +24,8 @@ does not change what they match, and take time in proportion to the text.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +46,7 @@ PATTERNS = {
 }
 #: (kind, pattern, base kinds that confirm it).
 GENERATORS = (
-    ("handle", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++\x20?(?:@|[(\[]\x20?at\x20?[)\]])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[]\x20?dot\x20?[)\]])\x20?[A-Za-z0-9-]++)*+", ("email",)),
+    ("handle", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++\x20?(?:@|[(\[]\x20?at\x20?[)\]])\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[]\x20?dot\x20?[)\]]\x20?)[A-Za-z0-9-]++)*+", ("email",)),
     ("number", r"(?<![0-9])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+", ("email", "ip", "card", "phone")),
     ("run", r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])", ("card",)),
     *(
@@ -52,14 +60,25 @@ NEEDED = {
     "handle": r"@|[(\[]\x20?at\x20?[)\]]", "number": r"[0-9](?:[\x20().-]{0,2}[0-9]){6}",
     "run": r"[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}", "plus": r"\+[0-9]",
 }
+#: A host of two parts or more after the at sign.
+HOST = r"(?:@|at\x20?[)\]])\x20?[A-Za-z0-9-]++(?:\.|\x20?[(\[]\x20?dot)"
 #: Words before a candidate that hint at what it is.
 CUES = (r"(?i)mail|contact|write", r"(?i)phone|tel|call|mobile|fax", r"(?i)card|visa|credit|payment", r"(?i)\bip\b|host|server|address")
 
-FEATURES = ("generator", "digits", "groups", "signs", "before", "after", "cue", "head", "luhn")
+FEATURES = ("generator", "digits", "groups", "signs", "before", "after", "cue", "head", "luhn", "host")
+#: Places of the features of the candidate's own form, without its context: what settles unlabelled candidates.
+FORM = (0, 1, 2, 3, 8, 9)
 PRECISION = 0.95
+#: No threshold is lower, however few negatives the calibration fold holds.
+LEAST = 0.5
+#: The share of positives under whose scores an unlabelled candidate is taken as negative.
+SPY = 0.05
+#: Code points of a base span that is rewritten to learn from, and of its context on either side.
+REWRITTEN, CONTEXT = 64, 24
 CALIBRATION_FOLDS = 5
 _BLOCK = 256
 _SPANS = "array<struct<kind:int,start:int,end:int>>"
+_BASE = "array<struct<kind:int,start:int,end:int,before:string,match:string,after:string>>"
 
 
 def _let(value: Column, body) -> Column:
@@ -143,15 +162,19 @@ def _valid(kind: str, match: Column) -> Column:
 
 
 def _base(text: Column, kind: str) -> Column:
+    """Base spans of a kind; the match, if short enough to be rewritten, and its context go with them."""
     number = KINDS.index(kind)
-    found = _matches(
-        text, PATTERNS[kind],
-        lambda m, start, *_: F.struct(
-            F.lit(number).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), _valid(kind, m).alias("valid")
-        ),
-    )
-    spans = F.transform(F.filter(found, lambda s: s["valid"]), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return F.when(text.rlike(NEEDED[kind]), spans.cast(_SPANS)).otherwise(F.array().cast(_SPANS))
+
+    def make(match: Column, start: Column, before: Column, after: Column) -> Column:
+        return F.struct(
+            F.lit(number).alias("kind"), start.alias("start"), (start + F.length(match)).alias("end"),
+            F.right(before, F.lit(CONTEXT)).alias("before"),
+            F.when(F.length(match) <= REWRITTEN, match).alias("match"), F.left(after, F.lit(CONTEXT)).alias("after"),
+            _valid(kind, match).alias("valid"),
+        )
+
+    spans = F.transform(F.filter(_matches(text, PATTERNS[kind], make), lambda s: s["valid"]), lambda s: s.dropFields("valid"))
+    return F.when(text.rlike(NEEDED[kind]), spans.cast(_BASE)).otherwise(F.array().cast(_BASE))
 
 
 def _class_of(sign: Column) -> Column:
@@ -178,7 +201,7 @@ def _candidates(text: Column, kind: str, pattern: str) -> Column:
     number = KINDS.index(kind)
 
     def make(match: Column, start: Column, before: Column, after: Column) -> Column:
-        context = F.right(before, F.lit(24))
+        context = F.right(before, F.lit(CONTEXT))
         cue = F.lit(0)
         for k, words in reversed(list(enumerate(CUES, 1))):
             cue = F.when(context.rlike(words), k).otherwise(cue)
@@ -189,11 +212,12 @@ def _candidates(text: Column, kind: str, pattern: str) -> Column:
             F.lit(number - N_BASE).alias("generator"),
             _bucket(n, (1, 7, 8, 10, 11, 13, 16, 17, 20)).alias("digits"),
             _bucket(F.size(F.split(match, "[^A-Za-z0-9]+")), (2, 3, 4, 5, 6)).alias("groups"),
-            (match.rlike(r"[()]").cast("int") + F.lit(2) * match.rlike(r"\.").cast("int") + F.lit(4) * match.rlike("@").cast("int")).alias("signs"),
+            (match.rlike(r"[()\[\]]").cast("int") + F.lit(2) * match.rlike(r"\.").cast("int") + F.lit(4) * match.rlike("@").cast("int")).alias("signs"),
             _class_of(F.right(before, F.lit(1))).alias("before"), _class_of(F.left(after, F.lit(1))).alias("after"),
             cue.alias("cue"),
             _bucket(F.length(F.regexp_extract(match, r"^\(?([A-Za-z0-9]*)", 1)), (1, 2, 3, 4, 5, 9)).alias("head"),
             F.when(n.between(13, 19), _luhn(digits)).otherwise(F.lit(False)).cast("int").alias("luhn"),
+            match.rlike(HOST).cast("int").alias("host"),
         )
 
     return F.when(text.rlike(NEEDED[kind]), _matches(text, pattern, make).cast(_CANDIDATE)).otherwise(F.array().cast(_CANDIDATE))
@@ -211,11 +235,44 @@ def _confirms(base: Column, candidate: Column) -> Column:
     return _overlap(base, candidate) & able
 
 
+def _rewrites(span: Column) -> Column:
+    """(positive, before, match, after) of the forms of a base span that its own pattern misses, and of its decoys."""
+    match, before, after = span["match"], span["before"], span["after"]
+    forms = "array<struct<positive:boolean,before:string,match:string,after:string>>"
+
+    def form(positive: bool, left: Column, middle: Column, right: Column) -> Column:
+        return F.struct(F.lit(positive).alias("positive"), left.alias("before"), middle.alias("match"), right.alias("after"))
+
+    name, host = F.substring_index(match, "@", 1), F.substring_index(match, "@", -1)
+    written_out = [
+        form(True, before, F.concat(name, F.lit(at), F.replace(host, F.lit("."), F.lit(dot))), after)
+        for at, dot in ((" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" (at) ", "."), (" @ ", "."))
+    ]
+    no_host = [form(False, before, F.concat(name, F.lit(at), F.substring_index(host, ".", 1)), after) for at in ("@", " (at) ")]
+    another = F.concat(F.lit(" 97.51.17.173"), after)
+    last = F.right(match, F.lit(1)).cast("int")
+    broken = F.concat(F.left(match, F.length(match) - 1), ((last + 1) % 10).cast("string"))
+    bare = form(False, F.lit("no "), _digits(match), after)
+    of_kind = {
+        "email": [*written_out, *no_host],
+        "phone": [form(True, before, match, another), form(True, before, F.regexp_replace(match, r"^\+", ""), after), bare],
+        "card": [form(True, before, match, another), form(False, before, broken, another), form(False, before, broken, after)],
+    }
+    out = F.array().cast(forms)
+    for kind, found in of_kind.items():
+        out = F.when(span["kind"] == KINDS.index(kind), F.array(*found).cast(forms)).otherwise(out)
+    return out
+
+
+def _all_candidates(text: Column) -> Column:
+    return F.concat(*[_candidates(text, kind, pattern) for kind, pattern, _ in GENERATORS])
+
+
 def proposed(docs: DataFrame, *others: str) -> DataFrame:
     """Per row of ``docs``: doc_id, ``others``, base spans and candidates (with ``hit``: a base span overlaps)."""
     text = F.coalesce("text", F.lit(""))
     base = F.concat(*[_base(text, kind) for kind in KINDS[:N_BASE]])
-    candidates = F.concat(*[_candidates(text, kind, pattern) for kind, pattern, _ in GENERATORS])
+    candidates = _all_candidates(text)
     found = docs.select("doc_id", *others, base.alias("_base"), candidates.alias("_proposed"))
     return found.select(
         "doc_id", *others, "_base",
@@ -239,23 +296,80 @@ class Selector:
         return ~candidate["hit"] & (self.trees.probability(candidate) >= least)
 
 
+def examples(found: DataFrame) -> DataFrame:
+    """(doc_id, label, c) of all learning candidates of ``proposed``: 1 and 0 of rewritten spans, null of uncovered ones."""
+    forms = (
+        found.select("doc_id", F.explode("_base").alias("_span")).where("_span.match is not null")
+        .select("doc_id", F.explode(_rewrites(F.col("_span"))).alias("_form"))
+        .select("doc_id", "_form", F.length("_form.before").alias("_from"), (F.length("_form.before") + F.length("_form.match")).alias("_to"))
+    )
+    text = F.concat("_form.before", "_form.match", "_form.after")
+    made = forms.select("doc_id", F.col("_form.positive").cast("int").alias("label"), "_from", "_to", F.explode(_all_candidates(text)).alias("c"))
+    made = made.where("c.start = _from and c.end = _to").select("doc_id", "label", "c")
+    uncovered = F.filter("_proposed", lambda c: ~c["hit"])
+    others = found.select("doc_id", F.lit(None).cast("int").alias("label"), F.explode(uncovered).alias("c"))
+    return made.union(others.withColumn("c", F.col("c").dropFields("hit")))
+
+
 def learn(found: DataFrame, precision: float = PRECISION) -> Selector:
-    """Trees and thresholds from all candidates of ``proposed``.
+    """Trees and thresholds from all ``examples`` of ``proposed``.
 
-    They are counted by pattern in Spark; there are at most 4 * 10 * 6 * 8 * 6 * 6 * 5 * 7 * 2 patterns,
+    They are counted by pattern in Spark; there are at most 4 * 10 * 6 * 8 * 6 * 6 * 5 * 7 * 2 * 2 patterns,
     of which a corpus holds some hundreds, whatever its size. One fold of the documents calibrates.
+    A kind without positives adds nothing.
     """
     calibration = (fold("doc_id", CALIBRATION_FOLDS) == 0) & F.col("doc_id").isNotNull()
     rows = (
-        found.select(F.coalesce(calibration, F.lit(False)).alias("calibration"), F.explode("_proposed").alias("c"))
-        .groupBy("calibration", "c.kind", *[F.col(f"c.{f}") for f in FEATURES])
-        .agg(F.count_if("c.hit").alias("pos"), F.count_if(~F.col("c.hit")).alias("neg"))
+        examples(found).groupBy(
+            F.coalesce(calibration, F.lit(False)).alias("calibration"), "c.kind", *[F.col(f"c.{f}") for f in FEATURES]
+        )
+        .agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"), F.count_if(F.col("label").isNull()).alias("free"))
         .collect()
     )
-    patterns = [(tuple(r[f] for f in FEATURES), r["pos"], r["neg"], r["calibration"], r["kind"]) for r in rows]
-    trees = boosting.train(FEATURES, [p[:3] for p in patterns if not p[3]])
-    held = {k: [p[:3] for p in patterns if p[3] and p[4] == k] for k in range(N_BASE, len(KINDS))}
-    return Selector(trees, {k: boosting.threshold(trees, own, precision) for k, own in held.items()})
+    counted = [Counted(tuple(r[f] for f in FEATURES), r["kind"], r["calibration"], r["pos"], r["neg"], r["free"]) for r in rows]
+    counted = _weighed(counted)
+    counted = _settled(counted)
+    trees = boosting.train(FEATURES, [(c.pattern, c.pos, c.neg) for c in counted if not c.calibration])
+    held = {k: [(c.pattern, c.pos, c.neg) for c in counted if c.calibration and c.kind == k] for k in range(N_BASE, len(KINDS))}
+    return Selector(trees, {k: max(LEAST, boosting.threshold(trees, own, precision)) for k, own in held.items()})
+
+
+@dataclass(frozen=True)
+class Counted:
+    """The positive, negative and unlabelled candidates of one pattern of features."""
+
+    pattern: tuple[int, ...]
+    kind: int
+    calibration: bool
+    pos: float
+    neg: float
+    free: float
+
+
+def _weighed(counted: list[Counted]) -> list[Counted]:
+    """Positives of each kind weigh as much as its unlabelled candidates, if those are more."""
+    scale = {}
+    for kind in {c.kind for c in counted}:
+        own = [c for c in counted if c.kind == kind]
+        scale[kind] = max(1.0, sum(c.free for c in own) / max(1, sum(c.pos for c in own)))
+    return [replace(c, pos=c.pos * scale[c.kind]) for c in counted]
+
+
+def _settled(counted: list[Counted]) -> list[Counted]:
+    """Unlabelled candidates whose form trees score under nearly all positives of their kind become negatives, the others go."""
+    form = {c: tuple(c.pattern[i] for i in FORM) for c in counted}
+    first = boosting.train([FEATURES[i] for i in FORM], [(form[c], c.pos, c.neg + c.free) for c in counted if not c.calibration])
+    least = {}
+    for kind in {c.kind for c in counted}:
+        scored = sorted((first.margin(form[c]), c.pos) for c in counted if c.kind == kind and c.pos and not c.calibration)
+        below, most = 0.0, SPY * sum(pos for _, pos in scored)
+        least[kind] = math.inf
+        for margin, pos in scored:
+            below += pos
+            if below > most:
+                least[kind] = margin
+                break
+    return [replace(c, neg=c.neg + (c.free if first.margin(form[c]) < least[c.kind] else 0), free=0) for c in counted]
 
 
 def spans(found: DataFrame, selector: Selector, *others: str) -> DataFrame:
@@ -264,7 +378,8 @@ def spans(found: DataFrame, selector: Selector, *others: str) -> DataFrame:
         F.filter("_proposed", selector.selected),
         lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")),
     )
-    return found.select("doc_id", *others, F.array_sort(F.concat(F.col("_base"), added.cast(_SPANS))).alias("spans"))
+    base = F.transform("_base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end")))
+    return found.select("doc_id", *others, F.array_sort(F.concat(base.cast(_SPANS), added.cast(_SPANS))).alias("spans"))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -316,12 +431,13 @@ def redacted(text: Column, found: Column) -> Column:
 def without_personal_data(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of personal data in text replaced by its kind, and n_chars, if there, as it is then.
 
-    All columns and rows stay. The texts are read twice, to learn and to redact, and not shuffled.
+    All columns and rows stay. Patterns go over the texts once: rows are written with their spans and
+    candidates, learned from, and read again to redact. Nothing is shuffled but counted patterns.
     """
     whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    selector = learn(proposed(docs.select("doc_id", "text")))
-    done = spans(proposed(whole, "text", "_row"), selector, "text", "_row").select(
-        "_row", redacted(F.col("text"), F.col("spans")).alias("_redacted")
+    found = written(proposed(whole, "_row"), "proposed")
+    done = spans(found, learn(found), "_row").select(
+        "_row", redacted(F.col("_row.text"), F.col("spans")).alias("_redacted")
     )
     new = {"text": F.col("_redacted"), "n_chars": F.length("_redacted").cast("long")}
     return done.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])

@@ -18,7 +18,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents"))
     counts = [F.size(_only(k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(N_BASE)]
     digest = F.sha2(joined(_only(*range(N_BASE))), 256).alias("base_sha256")
-    return found.select("doc_id", *counts, digest, joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, digest, joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 QUERIES = {"op5_pii": op5_pii}

@@ -92,3 +92,53 @@ def test_trees_learn_an_interaction_and_thresholds_keep_precision():
     assert boosting.probability(trees.margin((0, 1))) < limit <= boosting.probability(trees.margin((1, 1)))
     assert boosting.threshold(trees, patterns, 0.95) > 1
     assert boosting.train(("a",), []).margin((3,)) == 0
+
+
+def test_added_spans_recall_and_precision(spark):
+    """Spans that no base pattern gives, in documents of their own, beside lookalikes."""
+    rng = random.Random(29)
+    leads = ["please mail ", "you reach me at ", "see ", "send it over to ", "my phone: ", "the card is "]
+    names = ["ann", "bo.li", "christopher", "d", "eve_77", "f.g.h"]
+    learn_from = [
+        f"{rng.choice(leads)}{rng.choice(names)}{i}@host{i}.org, {rng.choice(leads)}+1 (234) 555-{1000 + i}; {rng.choice(leads)}{card(rng)} thanks"
+        for i in range(60)
+    ]
+    number = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    wanted, texts = [], []
+
+    def put(kind, before, span, after):
+        texts.append(before + span + after)
+        wanted.append((kind, len(before), len(before) + len(span)))
+
+    for i in range(60):
+        put("handle", "reach me: ", f"joe{i} (at) site{number(3)} (dot) com", " today")
+        put("handle", "write to ", f"kim.{number(2)}[at]mail{i}[dot]net", ", thanks")
+        put("run", "the card ", card(rng), f" {number(14)} was used")
+        put("plus", "please call ", f"+1 ({number(3)}) 555-{number(4)}", f" {rng.randrange(99)}.9.51.173 now")
+    clean = [f"order {number(9)} of 2024-05-{10 + i % 20}, {number(3)}.{number(3)}.{number(3)} pieces" for i in range(60)]
+    clean += [f"lunch (at) noon{i}, see @someone{i} and {number(16)[:-1]}x" for i in range(60)]
+    clean += [f"part {n}" for n in (number(16) for _ in range(60)) if not luhn(n)]
+    rows = [frames.row(i, t) for i, t in enumerate(learn_from + texts + clean)]
+    found = {r.doc_id: [(pii.KINDS[s.kind], s.start, s.end) for s in r.spans] for r in pii.find_personal_data(frames.documents(spark, rows)).collect()}
+    added = {d: [s for s in spans if s[0] not in BASE] for d, spans in found.items()}
+    for kind in ("handle", "run", "plus"):
+        own = [(len(learn_from) + i, span) for i, span in enumerate(wanted) if span[0] == kind]
+        caught = sum(span in added[d] for d, span in own)
+        assert caught >= 0.9 * len(own), (kind, caught, len(own))
+    false = sum(bool(added[len(learn_from) + len(texts) + i]) for i in range(len(clean)))
+    assert false <= 0.05 * len(clean), false
+
+
+def test_query_counts_and_digests(spark, rows, tmp_path):
+    import hashlib
+
+    from capsight.llm import pii_queries
+
+    frames.documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    texts = {r[0]: r[1] for r in rows if r[0] is not None and [x[0] for x in rows].count(r[0]) == 1}
+    for r in pii_queries.op5_pii(spark, str(tmp_path)).collect():
+        if r.doc_id in texts:
+            base = base_spans(texts[r.doc_id])
+            assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base) for k in BASE]
+            assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+            assert r.n_spans == len([s for s in r.spans.split(",") if s])
