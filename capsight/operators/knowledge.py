@@ -1,17 +1,22 @@
 """A versioned knowledge store as tables: chunking, lifecycle, keyword and vector search, fusion, selection.
 
-Searches take a table of queries, so one plan answers all of them. Keyword search goes by an inverted
-index of three-letter pieces: a query's phrases meet only the chunks that hold their rarest piece.
-Vector search keeps the query table, in blocks of bounded size, on every task and the chunk vectors
+Searches take a table of queries, so one plan answers all of them. Keyword search keeps the phrases, in
+blocks of bounded size, on every task and counts all of a block in one pass over each text, so texts
+are never shuffled. Vector search keeps the query table, in blocks of bounded size, on every task and the chunk vectors
 where they are; its top k is combined before the shuffle.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate, groupby
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,32 +30,48 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Longest text kept whole, size aimed at, overlap of neighbours, in characters.
 WHOLE, TARGET, OVERLAP = 1500, 800, 100
 MAX_RESULTS, MAX_BYTES = 8, 24_576
-#: Query vectors that tasks may hold: beyond it queries go in groups.
+#: Fixed value: where a text may be cut into paragraphs, after an empty line or the end of a sentence.
+PARAGRAPH_END = r"(?<=\n)\s*\n|(?<=[。！？.!?])\s+"
+#: Query vectors, and phrases, that tasks hold at a time: beyond it they go in blocks.
 QUERY_BOUND = 4096
+PHRASE_BOUND = 100_000
 
 
 # --- import -----------------------------------------------------------------------------------
 
+def _packed(run: list[str], target: int, overlap: int) -> Iterator[str]:
+    """Short paragraphs in chunks: prefix sums of their lengths tell where each chunk ends."""
+    ends = [p.rstrip() for p in run]
+    sums = list(accumulate((2 + len(p) for p in ends), initial=0))
+    start, lead = 0, ""
+    while start < len(run):
+        head = lead or run[start]
+        rest = start if lead else start + 1  # the first paragraph that follows the head
+        fits = bisect_right(sums, sums[rest] + target - len(head.lstrip())) - 1
+        stop = max(start + 1, fits)
+        parts = [head, *ends[rest:stop]]
+        chunk = "\n\n".join(parts).strip() if len(parts) > 1 else head
+        yield chunk
+        start, lead = stop, chunk[-overlap:]
+
+
 def pack(paragraphs: list[str], whole: int = WHOLE, target: int = TARGET, overlap: int = OVERLAP) -> list[str]:
-    """Paragraphs packed up to ``target`` characters, each chunk led by the end of the one before; long ones cut with overlap."""
-    chunks: list[str] = []
-    open_ = ""
-    for paragraph in filter(None, paragraphs):
-        if len(paragraph) > whole:
-            chunks += [open_] if open_ else []
-            open_ = ""
-            chunks += [paragraph[at : at + whole] for at in range(0, len(paragraph), whole - overlap)]
-        elif open_ and len(joined := f"{open_}\n\n{paragraph}".strip()) > target:
-            chunks.append(open_)
-            open_ = f"{open_[-overlap:]}\n\n{paragraph}".strip()
+    """Paragraphs packed up to ``target`` characters, each chunk led by the end of the one before.
+
+    One over ``whole`` stands alone, in slices that overlap; no lead crosses it. Blank ones carry nothing.
+    """
+    found: list[str] = []
+    for long, some in groupby((p for p in paragraphs if p.strip()), key=lambda p: len(p) > whole):
+        if long:
+            found += [p[at : at + whole] for p in some for at in range(0, len(p), whole - overlap)]
         else:
-            open_ = joined if open_ else paragraph
-    return chunks + ([open_] if open_ else [])
+            found += _packed(list(some), target, overlap)
+    return found
 
 
 def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, chunk_index, content, content_hash): texts in pieces; short ones whole. Null texts have none."""
-    pieces = F.split(F.col(text), r"(?<=\n)\s*\n|(?<=[。！？.!?])\s+")
+    pieces = F.split(F.col(text), PARAGRAPH_END)
     split = docs.where(F.col(text).isNotNull()).select(key, F.when(F.length(text) > WHOLE, pieces).otherwise(F.array(F.col(text))).alias("pieces"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,35 +166,53 @@ def applies(constraint: str, value: Column) -> Column:
 
 # --- keyword search ---------------------------------------------------------------------------
 
-def _pieces(text: Column) -> Column:
-    """The distinct three-letter pieces of a text, found in one pass."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), F.lit(1)))
+def _counts(body: DataFrame, phrases: list[str]) -> DataFrame:
+    """(_key, _length, phrase, _f) of the texts that hold a phrase, overlapping occurrences counted."""
+    shared = body.sparkSession.sparkContext.broadcast(phrases)
 
-
-def occurrences(text: Column, phrase: Column) -> Column:
-    """How often a phrase stands in a text, overlaps counted: matches of width 0 before each."""
-    quoted = F.concat(F.lit(r"(?=\Q"), F.replace(phrase, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
-    return F.when(F.contains(text, phrase), F.regexp_count(text, quoted)).otherwise(0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = ahocorasick.Automaton()
+        for at, phrase in enumerate(shared.value):
+            finder.add_word(phrase, at)
+        finder.make_automaton()
+        for batch in batches:
+            row, at, f = [], [], []
+            for i, text in enumerate(batch.column("_text").to_pylist()):
+                found = Counter(k for _, k in finder.iter(text))
+                row += [i] * len(found)
+                at += found.keys()
+                f += found.values()
+            rows = pa.array(row, pa.int64())
+            names = pa.array(shared.value, pa.string()).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_key").take(rows), batch.column("_length").take(rows), names, pa.array(f, pa.int64())],
+                names=["_key", "_length", "phrase", "_f"],
+            )
+
+    return body.mapInArrow(run, f"_key {body.schema['_key'].dataType.simpleString()}, _length int, phrase string, _f long")
+
+
+def phrase_counts(body: DataFrame, asked: DataFrame) -> DataFrame:
+    """``_counts`` of all phrases of ``asked``, whatever their number: a block of about PHRASE_BOUND is one pass over the texts."""
+    blocks = max(1, -(-5 * asked.count() // (4 * PHRASE_BOUND)))
+    block = F.pmod(F.xxhash64("phrase"), F.lit(blocks))
+    held = ([r["phrase"] for r in asked.where(block == k).collect()] for k in range(blocks))
+    found = [_counts(body, phrases) for phrases in held if phrases]
+    none = body.select("_key", "_length", F.lit("").alias("phrase"), F.lit(0).cast("long").alias("_f")).where(F.lit(False))
+    return reduce(DataFrame.union, found) if found else none
 
 
 def bm25(chunk_rows: DataFrame, key: str, text: str, queries: DataFrame) -> DataFrame:
     """(query_id, key, score) of every chunk that holds a phrase; lower is better.
 
     ``queries``: query_id, phrase, one row per phrase; case apart; phrases under three characters count
-    for nothing. Only chunks that hold a phrase's first three-letter piece are looked at.
+    for nothing. A phrase occurs wherever its characters stand, within words and overlapping too.
     """
     body = chunk_rows.select(F.col(key).alias("_key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
     body = body.withColumn("_length", F.greatest(F.length("_text") - 2, F.lit(0)))
     facts = body.agg(F.count("*").alias("_total"), F.avg("_length").alias("_mean"))
     phrases = queries.select("query_id", F.lower(F.trim("phrase")).alias("phrase")).where(F.length("phrase") >= 3)
-    asked = phrases.select("phrase").distinct().withColumn("_piece", F.substring("phrase", 1, 3))
-    wanted = asked.select("_piece").distinct()
-    index = body.select("_key", F.explode(_pieces(F.col("_text"))).alias("_piece")).join(wanted, "_piece", "left_semi")
-    hits = (
-        index.join(asked, "_piece").select("_key", "phrase").join(body, "_key")
-        .withColumn("_f", occurrences(F.col("_text"), F.col("phrase"))).where("_f > 0")
-        .select("_key", "phrase", "_f", "_length")
-    )
+    hits = phrase_counts(body, phrases.select("phrase").distinct())
     holding = hits.groupBy("phrase").agg(F.count("*").alias("_n")).crossJoin(F.broadcast(facts))
     idf = F.ln((F.col("_total") - F.col("_n") + 0.5) / (F.col("_n") + 0.5))
     weight = holding.select("phrase", "_mean", F.when(idf <= 0, LEAST_IDF).otherwise(idf).alias("_idf"))

@@ -52,12 +52,9 @@ def dns_pairs(dns: DataFrame) -> DataFrame:
 
     ``dns``: seq, is_response, id, src, dst, name. Any earlier query will do, however long ago.
     """
-    asked = dns.where(~F.col("is_response")).groupBy("id", "src", "name").agg(F.min("seq").alias("seq"))
-    right = asked.select(F.col("id").alias("id_r"), F.col("src").alias("client_r"), F.col("name").alias("name_r"), F.col("seq").alias("seq_r"))
+    asked = dns.where(~F.col("is_response")).select("seq", "id", F.col("src").alias("dst"), "name")
     answers = dns.where("is_response").select("seq", "id", "src", "dst", "name")
-    same_client = F.col("client_r") == F.col("dst")
-    tiers = [same_client & F.col("name").eqNullSafe(F.col("name_r")), same_client, F.col("id_r").isNotNull()]
-    return series.tiered_match(answers, right, "id", "seq", tiers, "tier")
+    return series.tiered_match(answers, asked, "seq", [["id", "dst", "name"], ["id", "dst"], ["id"]], {"name"}, "tier")
 
 
 def dns_totals(dns: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,15 +104,19 @@ def last_n(rows: DataFrame, key: str, n: int, order: str) -> DataFrame:
     )
 
 
-def tiered_match(left: DataFrame, right: DataFrame, key: str, order: str, tiers: list[Column], name: str) -> DataFrame:
-    """Each ``left`` row with the tier of its best match among earlier ``right`` rows of the same key, or null.
+def tiered_match(left: DataFrame, right: DataFrame, order: str, tiers: list[list[str]], nullable: set[str], name: str) -> DataFrame:
+    """``left`` with the number of the first tier that an earlier ``right`` row meets, or null.
 
-    ``right`` is reduced to the first row of each combination of the columns that tiers compare, which is
-    enough, for a match needs only some earlier row; its columns end in ``_r``. Tiers are tried in order.
+    A tier is a list of columns that both have and that must be equal; nulls are equal in ``nullable``
+    ones only. Any earlier row will do, so each tier joins the first row of its combination: an
+    equi-join with at most one partner, however many rows share a key.
     """
-    pairs = left.join(right, (left[key] == right[f"{key}_r"]) & (right[f"{order}_r"] < left[order]), "left")
-    tier = F.lit(None).cast("int")
-    for k in range(len(tiers), 0, -1):
-        tier = F.when(tiers[k - 1], k).otherwise(tier)
-    tier = F.when(pairs[f"{key}_r"].isNotNull(), tier)
-    return pairs.groupBy(*[left[c] for c in left.columns]).agg(F.min(tier).alias(name))
+    met = F.lit(None).cast("int")
+    out = left
+    for k, keys in reversed(list(enumerate(tiers, 1))):
+        needed = [c for c in keys if c not in nullable]
+        first = right.dropna(subset=needed).groupBy(*[F.col(c).alias(f"_{c}") for c in keys]).agg(F.min(order).alias(f"_first{k}"))
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
+        out = out.join(first, same, "left").drop(*[f"_{c}" for c in keys])
+        met = F.when(F.col(f"_first{k}") < F.col(order), k).otherwise(met)
+    return out.select(*left.columns, met.alias(name))

@@ -60,11 +60,8 @@ def applicability_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, phrase): the distinct first and third words of each item, of three letters or more, that don't overlap with themselves."""
-    words = F.split(F.lower("text"), " ")
-    first = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.array(F.get(words, F.lit(0)), F.get(words, F.lit(2))))).alias("phrase"))
-    border = F.exists(F.sequence(F.lit(1), F.length("phrase") - 1), lambda k: F.expr("phrase").substr(F.lit(1), k) == F.expr("phrase").substr(F.length("phrase") - k + 1, k))
-    return first.where(F.col("phrase").rlike("^[a-z]{3,}$")).where(~border)
+    """(query_id, phrase): the distinct words of each item."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.split(F.lower("text"), " ")).alias("phrase")).distinct()
 
 
 def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,15 +157,13 @@ QUERIES = {
 
 _FLAGS = " || ".join(f"CASE WHEN regexp_matches(text, '{pattern}') THEN '{name},' ELSE '' END" for name, pattern in texts.RISKS)
 _KEYWORD = f"""
-    i AS (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark),
-    u AS (SELECT DISTINCT item_id AS query_id, phrase FROM (SELECT item_id, w[1] AS phrase FROM i UNION ALL SELECT item_id, w[3] FROM i)),
-    ph AS (SELECT * FROM u WHERE regexp_full_match(phrase, '[a-z]{{3,}}')
-           AND NOT EXISTS (SELECT 1 FROM range(1, 30) k(n) WHERE n < length(phrase) AND left(phrase, n) = right(phrase, n))),
-    dt AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
-    dl AS (SELECT *, greatest(length(t) - 2, 0) AS len FROM dt),
+    ph AS (SELECT DISTINCT query_id, phrase FROM (SELECT item_id AS query_id, unnest(string_split(lower(text), ' ')) AS phrase FROM benchmark) WHERE length(phrase) >= 3),
+    dl AS (SELECT doc_id, t, greatest(length(t) - 2, 0) AS len FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)),
     st AS (SELECT count(*) AS total, avg(len) AS mean FROM dl),
-    hits AS (SELECT doc_id, phrase, len, (length(t) - length(replace(t, phrase, ''))) / length(phrase) AS f
-             FROM (SELECT DISTINCT phrase FROM ph) JOIN dl ON contains(t, phrase)),
+    ch AS (SELECT doc_id, len, unnest(regexp_extract_all(t, '(?s).')) AS c, generate_subscripts(regexp_extract_all(t, '(?s).'), 1) AS i FROM dl),
+    ah AS (SELECT doc_id, len, string_agg(c, '') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 40 FOLLOWING) AS ahead FROM ch),
+    hits AS (SELECT doc_id, phrase, len, count(*) AS f
+             FROM ah JOIN (SELECT DISTINCT phrase FROM ph) ON left(ahead, 3) = left(phrase, 3) AND starts_with(ahead, phrase) GROUP BY 1, 2, 3),
     idf AS (SELECT phrase, CASE WHEN count(*) * 2 >= total THEN 1e-6 ELSE ln((total - count(*) + 0.5) / (count(*) + 0.5)) END AS idf FROM hits, st GROUP BY phrase, total),
     bm AS (SELECT query_id, doc_id, round(-sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean))), 9) AS score
            FROM ph JOIN hits USING (phrase) JOIN idf USING (phrase), st GROUP BY 1, 2),

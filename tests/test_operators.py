@@ -1,12 +1,13 @@
 """Literal rows through the operators: values worked out by hand."""
 
 import hashlib
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from capsight.functions import network, texts
-from capsight.operators import capture, evidence, knowledge
+from capsight.operators import capture, evidence, knowledge, protocols
 
 
 def _packets(spark, rows):
@@ -50,9 +51,32 @@ def test_redaction_hashes_each_match(spark):
     assert empty == "" and none is None
 
 
-def test_overlapping_occurrences(spark):
-    frame = spark.createDataFrame([("aaaa", "aa"), ("x.y x\\Ey", "x.y"), ("x\\Ey", "x\\Ey"), ("", "abc")], "t string, p string")
-    assert [r[0] for r in frame.select(knowledge.occurrences(F.col("t"), F.col("p"))).collect()] == [3, 1, 1, 0]
+def test_keyword_scores_of_every_occurrence(spark, monkeypatch):
+    monkeypatch.setattr(knowledge, "PHRASE_BOUND", 2)
+    texts = {1: "anananas x.y", 2: "X.Y \\E é été ÉTÉ", 3: None, 4: "", 5: "ana été", 6: "other", 7: "other one"}
+    asked = [(1, "ana"), (1, "x.y"), (1, "an"), (2, "été"), (2, " nas "), (3, "absent"), (3, "")]
+    docs = spark.createDataFrame(list(texts.items()), "k long, t string")
+    found = knowledge.bm25(docs, "k", "t", spark.createDataFrame(asked, "query_id long, phrase string"))
+    lowered = {k: (t or "").lower() for k, t in texts.items()}
+    size = {k: max(len(t) - 2, 0) for k, t in lowered.items()}
+    mean = sum(size.values()) / len(size)
+    expected = {}
+    for q, phrase in asked:
+        if len(p := phrase.strip()) >= 3:
+            f = {k: n for k, t in lowered.items() if (n := sum(t.startswith(p, i) for i in range(len(t))))}
+            idf = max(math.log((len(texts) - len(f) + 0.5) / (len(f) + 0.5)), 1e-6)
+            for k, n in f.items():
+                part = idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * size[k] / mean))
+                expected[q, k] = round(expected.get((q, k), 0.0) - part, 9)
+    assert {(r["query_id"], r["k"]): round(r["score"], 9) for r in found.collect()} == pytest.approx(expected)
+    assert knowledge.bm25(docs, "k", "t", spark.createDataFrame([], "query_id long, phrase string")).count() == 0
+
+
+def test_tiers_of_replies(spark):
+    rows = [(1, False, 7, "a", "s", "n"), (2, False, 7, "b", "s", None), (3, True, 7, "s", "a", "n"), (4, True, 7, "s", "b", None),
+            (5, True, 7, "s", "b", "n"), (6, True, 7, "s", None, "n"), (7, True, 8, "s", "a", "n"), (8, False, 8, "a", "s", "n"), (9, True, None, "s", "a", "n")]
+    frame = spark.createDataFrame(rows, "seq long, is_response boolean, id long, src string, dst string, name string")
+    assert {r["seq"]: r["tier"] for r in protocols.dns_pairs(frame).collect()} == {3: 1, 4: 1, 5: 2, 6: 3, 7: None, 9: None}
 
 
 def test_chunks_pack_and_overlap():
@@ -61,6 +85,9 @@ def test_chunks_pack_and_overlap():
     assert [len(c) for c in knowledge.pack([long])] == [1500, 1500, 200]
     packed = knowledge.pack(["a" * 500, "b" * 500])
     assert packed == ["a" * 500, "a" * 100 + "\n\n" + "b" * 500]
+    packed = knowledge.pack(["  a" * 10, "b" * 300 + "  ", "", "c" * 460, "d" * 699, "e" * 2, " ", long, "f"])
+    assert [len(c) for c in packed] == [792, 801, 104, 1500, 1500, 200, 1]
+    assert packed[0].startswith("a  a") and packed[1].startswith("c" * 100 + "\n\nd")
 
 
 @pytest.mark.parametrize(
