@@ -16,8 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fold(id_column: str, modulus: int) -> Column:
-    """crc32 of the id as text, modulo ``modulus``: the held-out folds of the queries."""
-    return F.crc32(F.col(id_column).cast("string")) % F.lit(modulus)
+    """crc32 of the id as text, modulo ``modulus``: the held-out folds of the queries. A null id is in none of them: -1."""
+    return F.coalesce(F.crc32(F.col(id_column).cast("string")) % F.lit(modulus), F.lit(-1))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -1,9 +1,11 @@
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
 
 from capsight.llm import text
+from capsight.llm.spark import fold
 
 
 def test_words_are_those_of_bytes_split():
@@ -35,3 +37,8 @@ def test_shingle_sets():
     values, bounds = text.shingle_sets(found, 2)
     assert np.diff(bounds).tolist() == [2, 1, 0, 1]
     assert values[bounds[3]] in values[: bounds[1]]
+
+
+def test_rows_without_id_are_in_no_fold(spark):
+    frame = spark.createDataFrame([(7,), (None,), (-3,)], "doc_id long")
+    assert [r[0] for r in frame.select(fold("doc_id", 5)).collect()] == [zlib.crc32(b"7") % 5, -1, zlib.crc32(b"-3") % 5]
