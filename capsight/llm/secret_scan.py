@@ -33,7 +33,10 @@ _LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 _PEM = re.compile(
     r"-----BEGIN ((?:[A-Z0-9]++ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\[nr])*+)-----END \1-----", re.ASCII
 )
-_DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+){2,}+")
+#: Begins only where a run begins, and gives nothing back: each sign is read a bounded number of times.
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){2,}+")
+#: Signs of the shortest header that names an algorithm, ``{"alg":""}``, in base64.
+_LEAST_HEADER = 14
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}+={0,2}")
 _ANY_HEX = re.compile(r"[0-9A-Fa-f]{64,}+")
 #: Texts without a match of this (in Arrow's linear-time matcher) have no span of any kind.
@@ -144,7 +147,7 @@ def _tokens(text: str) -> Iterator[tuple[int, int]]:
         k = 0
         while k + 2 < len(parts):
             at = parts[k].find("eyJ")
-            if at >= 0 and is_signed_token(parts[k][at:], parts[k + 1], parts[k + 2]):
+            if 0 <= at <= len(parts[k]) - _LEAST_HEADER and is_signed_token(parts[k][at:], parts[k + 1], parts[k + 2]):
                 yield starts[k] + at, starts[k + 2] + len(parts[k + 2])
                 k += 3
             else:
