@@ -6,6 +6,7 @@ from capsight.llm import (
     chat_queries,
     decontam_queries,
     dedup_queries,
+    filter_queries,
     langid_queries,
     lm_queries,
     mixing_queries,
@@ -17,7 +18,7 @@ from capsight.llm import (
 
 MODULES = (
     dedup_queries, secret_queries, toxicity_queries, decontam_queries, pii_queries, lm_queries, chat_queries,
-    syncmer_queries, mixing_queries, langid_queries,
+    syncmer_queries, mixing_queries, langid_queries, filter_queries,
 )
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
