@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from capsight.llm import (
     chat_queries,
+    code_queries,
     decontam_queries,
     dedup_queries,
     filter_queries,
@@ -18,7 +19,7 @@ from capsight.llm import (
 
 MODULES = (
     dedup_queries, secret_queries, toxicity_queries, decontam_queries, pii_queries, lm_queries, chat_queries,
-    syncmer_queries, mixing_queries, langid_queries, filter_queries,
+    syncmer_queries, mixing_queries, langid_queries, filter_queries, code_queries,
 )
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
