@@ -12,6 +12,7 @@ from capsight.llm import (
     lm_queries,
     mixing_queries,
     pii_queries,
+    search_queries,
     secret_queries,
     syncmer_queries,
     toxicity_queries,
@@ -19,7 +20,7 @@ from capsight.llm import (
 
 MODULES = (
     dedup_queries, secret_queries, toxicity_queries, decontam_queries, pii_queries, lm_queries, chat_queries,
-    syncmer_queries, mixing_queries, langid_queries, filter_queries, code_queries,
+    syncmer_queries, mixing_queries, langid_queries, filter_queries, code_queries, search_queries,
 )
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
