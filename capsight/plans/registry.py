@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from capsight.plans import events, ordered, packets, protocols, quality, retrieval, tasks
+from capsight.plans import events, ordered, packets, protocols, quality, retrieval, tasks, wire
 
-MODULES = (events, packets, protocols, ordered, retrieval, quality, tasks)
+MODULES = (events, packets, protocols, ordered, retrieval, quality, tasks, wire)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}

@@ -1 +1 @@
-"""Readers and writers."""
+"""Sources and sinks: capture files, event logs, published runs, knowledge files."""
