@@ -1,4 +1,4 @@
-"""Structured Streaming over event rows: tumbling, sliding and session windows, deduplication, per-key gaps, event logs.
+"""Structured Streaming over event rows: tumbling, sliding and session windows, deduplication, sinks.
 
 Each function takes a streaming or batch DataFrame, so one definition serves both; on a stream the
 watermark bounds the state, and what comes later than it is dropped by Spark.
@@ -6,12 +6,10 @@ watermark bounds the state, and what comes later than it is dropped by Spark.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def _totals(value: str) -> list:
@@ -49,26 +47,6 @@ def timely(events: DataFrame, seconds: str) -> tuple[DataFrame, DataFrame]:
     return events.where(good), events.where(~good)
 
 
-def gaps(events: DataFrame, key: str, time: str, least_seconds: float) -> DataFrame:
-    """(key, gap_start, gap_end, gap_seconds) of pauses over ``least_seconds``, across batches; state: one time per key."""
-    kind = events.schema[key].dataType.simpleString()
-
-    def step(found: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = pd.concat([p[time] for p in parts]).sort_values()
-        last = pd.Timestamp(state.get[0]) if state.exists else None
-        rows = []
-        for at in times:
-            if last is not None and (at - last).total_seconds() > least_seconds:
-                rows.append((found[0], last, at, (at - last).total_seconds()))
-            last = at if last is None else max(last, at)
-        state.update((last.isoformat(),))
-        yield pd.DataFrame(rows, columns=[key, "gap_start", "gap_end", "gap_seconds"])
-
-    return events.groupBy(key).applyInPandasWithState(
-        step, f"`{key}` {kind}, gap_start timestamp, gap_end timestamp, gap_seconds double", "last string", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def into_partitions(path: str, *partitions: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink: each batch goes to its own folder and is written over on a repeat, so nothing counts twice."""
 
