@@ -80,8 +80,8 @@ def word_signs(text: Column) -> Column:
 
 
 def states_fact(answer: Column, fact: Column) -> Column:
-    """Whether an answer holds a fact, signs and case apart."""
-    return F.contains(word_signs(answer), word_signs(fact))
+    """Whether an answer holds a fact, signs and case apart; one without letters or digits is never held."""
+    return (word_signs(fact) != "") & F.contains(word_signs(answer), word_signs(fact))
 
 
 def _bandwidth(text: Column, lead: str) -> Column:
@@ -108,12 +108,39 @@ def bare_bandwidth(text: Column) -> Column:
     return F.when(text.rlike(rf"(?i)^\s*[0-9]+(?:\.[0-9]+)?\s*{BANDWIDTH_UNIT}?\s*$"), _bandwidth(text, r"^\s*"))
 
 
-def title(text: Column, most: int = 28) -> Column:
-    """A short title: the first sentence without greeting, of at most ``most`` characters."""
-    plain = squeezed(text)
+#: Secrets and local paths of a chat and what stands for them; leads that a title drops; texts that say nothing; signs at its ends.
+CHAT_SECRET = r"(?i)(?:sk-[a-z0-9_-]{12,}|(?:api[_-]?key|authorization)\s*[:=]\s*\S+)"
+CHAT_PATH = r"(?i)(?<!\w)(?:[a-z]:[\\/]|/users/|/home/|/private/|/tmp/|~[/\\])[^\n，。；,;!?]*"
+SECRET_MARK, PATH_MARK, PATH_NAME = "<敏感信息已隐藏>", "<本地路径已隐藏>", "报文文件"
+TITLE_LEAD = r"^(?:你好[，,。!！\s]*|请问[，,：:\s]*|请帮我|帮我|麻烦(?:帮我)?|我想(?:了解|知道|问一下)|请(?:分析|解释|看看|检查)|分析(?:一下)?)"
+NO_TITLE = r"(?i)^(?:你好|您好|嗨|hi|hello|谢谢|好的|可以|确认|继续|重试|\d+(?:\.\d+)?[a-z]*)[。.!！]?$"
+CAPTURE_TITLE = "报文测速诊断"
+LEAD_ENDS, TITLE_ENDS = " ，,：:。.!！?？", " ，,：:。.!！?？-_"
+TITLE_SIGNS = 28
+
+
+def hidden(text: Column) -> Column:
+    """A chat text with secrets and local paths replaced by marks."""
+    return F.regexp_replace(F.regexp_replace(text, CHAT_SECRET, SECRET_MARK), CHAT_PATH, PATH_MARK)
+
+
+def title(text: Column, has_capture: Column | None = None) -> Column:
+    """A title from a first message: its first sentence without leads, of 28 signs at most; null if it says nothing.
+
+    With a capture at hand, a message that says nothing has a title all the same.
+    """
+    none = F.lit(None).cast("string") if has_capture is None else F.when(has_capture, CAPTURE_TITLE)
+    plain = squeezed(hidden(text))
+    short = plain
     for _ in range(3):
-        plain = F.regexp_replace(plain, r"(?i)^(?:please|hello|hi|help me)[\s,]+", "")
-    return F.substring(F.regexp_extract(plain, r"^[^.!?\n]*", 0), 1, most)
+        short = F.btrim(F.regexp_replace(short, TITLE_LEAD, ""), F.lit(LEAD_ENDS))
+    short = F.replace(F.replace(short, F.lit(PATH_MARK), F.lit(PATH_NAME)), F.lit(SECRET_MARK), F.lit(""))
+    short = F.btrim(F.get(F.split(short, r"[\n。！？!?；;]", 2), F.lit(0)), F.lit(TITLE_ENDS))
+    says_nothing = plain.rlike(NO_TITLE) | (short == "") | short.rlike(NO_TITLE)
+    if has_capture is not None:
+        says_nothing = says_nothing | (has_capture & (F.length(short) < 4))
+    cut = F.concat(F.rtrim(F.substring(short, 1, TITLE_SIGNS - 1)), F.lit("…"))
+    return F.when(says_nothing, none).when(F.length(short) <= TITLE_SIGNS, short).otherwise(cut)
 
 
 def command(text: Column) -> Column:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from capsight.functions.texts import states_fact
+
 CUTS = (5, 8, 20)
 
 
@@ -112,3 +116,76 @@ def require_none(rows: DataFrame, message: str) -> None:
     found = rows.head()
     if found is not None:
         raise ValueError(f"{message}: {found.asDict()}")
+
+
+# --- answers ----------------------------------------------------------------------------------
+
+def context_retention(final: DataFrame, labels: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """One row: relevant items, those of them in the final context, and their share over all cases; 0 without any."""
+    shown = final.select(*keys, item).distinct().withColumn("_kept", F.lit(1))
+    both = labels.select(*keys, item).distinct().join(shown, [*keys, item], "left")
+    facts = both.agg(F.count("*").alias("relevant"), F.count("_kept").alias("retained"))
+    return facts.withColumn("retention", F.when(F.col("relevant") > 0, F.col("retained") / F.col("relevant")).otherwise(0.0))
+
+
+def call_totals(traces: DataFrame, calls: str) -> DataFrame:
+    """(provider, calls): the sums of a map of calls by provider, over all traces."""
+    return traces.select(F.explode(calls).alias("provider", "n")).groupBy("provider").agg(F.sum("n").cast("long").alias("calls"))
+
+
+def _plain(values: Column) -> Column:
+    return F.array_distinct(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.lower(F.trim(x))))
+
+
+def coverage(expected: Column, observed: Column) -> Column:
+    """The share of the expected texts, case apart, that were observed; 1 if none is expected."""
+    wanted = _plain(expected)
+    return F.when(F.size(wanted) == 0, 1.0).otherwise(F.size(F.array_intersect(wanted, _plain(observed))) / F.size(wanted))
+
+
+def case_rates(cases: DataFrame) -> DataFrame:
+    """One row over cases (ranked, relevant, applicable, citations: arrays of ids; expected, baseline, observed, forbidden: arrays of texts):
+    citation and applicability accuracy, coverage of causes with and without retrieval, unsupported conclusions.
+
+    Only the first five of ``ranked`` count. Where no applicable ids are given, the relevant ones are.
+    """
+    hits = F.array_intersect(F.slice("ranked", 1, 5), F.col("relevant"))
+    applicable = F.when(F.size(F.coalesce("applicable", F.array().cast(cases.schema["relevant"].dataType))) > 0, F.col("applicable")).otherwise(F.col("relevant"))
+    cited = F.filter("citations", lambda x: F.array_contains(F.col("relevant"), x))
+    share = lambda a, b: F.when(F.sum(b) > 0, F.sum(a) / F.sum(b)).otherwise(0.0)
+    rows = cases.select(
+        F.size(cited).alias("cited"), F.size("citations").alias("citations"), F.size(F.array_intersect(hits, applicable)).alias("fitting"), F.size(hits).alias("hits"),
+        coverage(F.col("expected"), F.col("baseline")).alias("before"), coverage(F.col("expected"), F.col("observed")).alias("after"),
+        F.size(F.array_intersect(_plain(F.col("forbidden")), _plain(F.col("observed")))).alias("unsupported"), F.size(_plain(F.col("observed"))).alias("concluded"),
+    )
+    return rows.agg(
+        F.count("*").alias("n_cases"), share("cited", "citations").alias("citation_accuracy"), share("fitting", "hits").alias("applicability_accuracy"),
+        F.avg("before").alias("baseline_coverage"), F.avg("after").alias("coverage"), (F.avg("after") - F.avg("before")).alias("coverage_delta"),
+        share("unsupported", "concluded").alias("unsupported_rate"),
+    )
+
+
+#: The checks of an answer, in order.
+CHECKS = (
+    "citations_exist", "citations_in_context", "citations_approved", "facts_covered", "causes_covered", "forbidden_absent", "structure_complete", "claims_consistent",
+)
+
+
+def answer_checks(cases: DataFrame, claim: str) -> DataFrame:
+    """``cases`` with a boolean for each of CHECKS, and ``passed``.
+
+    Columns: answer; citations, context, approved (arrays of ids); facts, causes, forbidden, limitations, suggestions
+    (arrays of texts). ``claim``: the wording by which an answer says that it rests on retrieved knowledge. A null
+    list of citations, limitations or suggestions is an incomplete structure; other null lists are empty.
+    """
+    ids, words = (F.array().cast(cases.schema[c].dataType) for c in ("context", "facts"))
+    cited, shown, approved = (F.coalesce(F.col(c), ids) for c in ("citations", "context", "approved"))
+    states = lambda column: F.transform(F.coalesce(F.col(column), words), lambda x: states_fact(F.coalesce("answer", F.lit("")), x))
+    has_context = F.size(shown) > 0
+    checks = (
+        F.when(has_context, F.size(cited) > 0).otherwise(F.size(cited) == 0), F.size(F.array_except(cited, shown)) == 0, F.size(F.array_except(cited, approved)) == 0,
+        F.forall(states("facts"), lambda x: x), F.forall(states("causes"), lambda x: x), ~F.exists(states("forbidden"), lambda x: x),
+        F.col("citations").isNotNull() & F.col("limitations").isNotNull() & F.col("suggestions").isNotNull(), has_context | ~F.coalesce(F.col("answer").rlike(claim), F.lit(False)),
+    )
+    marked = cases.select("*", *[check.alias(name) for name, check in zip(CHECKS, checks, strict=True)])
+    return marked.withColumn("passed", reduce(Column.__and__, [F.col(c) for c in CHECKS]))

@@ -10,11 +10,10 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 from itertools import accumulate, groupby
 
-import ahocorasick
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 
 from capsight.functions import fields
 from capsight.operators import series
+from capsight.sources.storage import kept
 
 #: Reciprocal-rank constant, boosts by authority, BM25 parameters, least weight of a phrase.
 RRF = 60
@@ -171,6 +171,8 @@ def _counts(body: DataFrame, phrases: list[str]) -> DataFrame:
     shared = body.sparkSession.sparkContext.broadcast(phrases)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
         finder = ahocorasick.Automaton()
         for at, phrase in enumerate(shared.value):
             finder.add_word(phrase, at)
@@ -202,17 +204,31 @@ def phrase_counts(body: DataFrame, asked: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, found) if found else none
 
 
-def bm25(chunk_rows: DataFrame, key: str, text: str, queries: DataFrame) -> DataFrame:
+def match_phrases(queries: DataFrame, keywords: str, text: str) -> DataFrame:
+    """(query_id, phrase): the distinct keywords of each query, or its whole text if it has none; those under three characters left out.
+
+    A query without a phrase left finds nothing.
+    """
+    own = F.coalesce(F.col(keywords), F.array().cast("array<string>"))
+    asked = F.when(F.size(own) > 0, own).otherwise(F.array(F.col(text)))
+    rows = queries.select("query_id", F.explode(asked).alias("phrase")).where(F.length(F.trim("phrase")) >= 3)
+    return rows.select("query_id", F.lower(F.trim("phrase")).alias("phrase")).distinct()
+
+
+def bm25(chunk_rows: DataFrame, key: str, text: str | Sequence[str], queries: DataFrame) -> DataFrame:
     """(query_id, key, score) of every chunk that holds a phrase; lower is better.
 
+    ``text``: a column, or several that count as one document; no phrase reaches from one into the next.
     ``queries``: query_id, phrase, one row per phrase; case apart; phrases under three characters count
-    for nothing. A phrase occurs wherever its characters stand, within words and overlapping too.
+    for nothing. A phrase occurs wherever its characters stand, within words and overlapping too. The
+    texts are passed once: what they hold is written, and read for the weights and for the scores.
     """
-    body = chunk_rows.select(F.col(key).alias("_key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
-    body = body.withColumn("_length", F.greatest(F.length("_text") - 2, F.lit(0)))
+    parts = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ([text] if isinstance(text, str) else text)]
+    length = reduce(Column.__add__, [F.greatest(F.length(part) - 2, F.lit(0)) for part in parts])
+    body = chunk_rows.select(F.col(key).alias("_key"), F.concat_ws("\0", *parts).alias("_text"), length.alias("_length"))
     facts = body.agg(F.count("*").alias("_total"), F.avg("_length").alias("_mean"))
-    phrases = queries.select("query_id", F.lower(F.trim("phrase")).alias("phrase")).where(F.length("phrase") >= 3)
-    hits = phrase_counts(body, phrases.select("phrase").distinct())
+    phrases = queries.select("query_id", F.lower(F.trim("phrase")).alias("phrase")).where((F.length("phrase") >= 3) & ~F.contains("phrase", F.lit("\0")))
+    hits = kept(phrase_counts(body, phrases.select("phrase").distinct()), "hits")
     holding = hits.groupBy("phrase").agg(F.count("*").alias("_n")).crossJoin(F.broadcast(facts))
     idf = F.ln((F.col("_total") - F.col("_n") + 0.5) / (F.col("_n") + 0.5))
     weight = holding.select("phrase", "_mean", F.when(idf <= 0, LEAST_IDF).otherwise(idf).alias("_idf"))
@@ -223,6 +239,13 @@ def bm25(chunk_rows: DataFrame, key: str, text: str, queries: DataFrame) -> Data
     )
 
 
+def top_that_fit(scored: DataFrame, key: str, n: int, descending: bool, fits: Column) -> DataFrame:
+    """The best ``n`` of each query that fit, out of its best 3n: what doesn't fit uses up places of these. Ranks are those among the 3n."""
+    taken = top(scored, key, 3 * n, descending)
+    w = Window.partitionBy("query_id").orderBy("rank")
+    return taken.where(fits).withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= n).drop("_place")
+
+
 def top(scored: DataFrame, key: str, n: int, descending: bool, name: str = "rank") -> DataFrame:
     """The best ``n`` of each query with their rank; ties by key."""
     order = F.col("score").desc() if descending else F.col("score").asc()
@@ -281,14 +304,58 @@ def case_similarity(same_direction: Column, profile_ratio: Column, query_ratio:
     return F.when(same_direction, 0.08).otherwise(0.0) + near + 0.08 * mean
 
 
+def candidate_pool(found: DataFrame, key: str, n: int, with_reranker: bool) -> DataFrame:
+    """The ``n`` candidates of each query with their pool rank: by fusion_score for a reranker, else by boosted_score."""
+    by = F.col("fusion_score" if with_reranker else "boosted_score")
+    w = Window.partitionBy("query_id").orderBy(by.desc(), key)
+    return found.withColumn("pool_rank", F.row_number().over(w)).where(F.col("pool_rank") <= n)
+
+
+def score_faults(pool: DataFrame, scores: DataFrame, key: str) -> DataFrame:
+    """(query_id, fault) of every query of the pool: what makes its outside scores unusable, or null.
+
+    fault: few (under two candidates), repeated, unknown, missing, or value (not finite, or negative).
+    """
+    given = scores.select("query_id", key, F.col("rerank_score").alias("_score"), F.lit(1).alias("_given"))
+    both = pool.select("query_id", key, F.lit(1).alias("_asked")).join(given, ["query_id", key], "full_outer")
+    good = F.col("_score").isNotNull() & ~F.isnan("_score") & F.col("_score").between(0.0, 1.7976931348623157e308)
+    per_item = both.groupBy("query_id", key).agg(F.max("_asked").alias("_asked"), F.count("_given").alias("_n"), F.min(good.cast("int")).alias("_good"))
+    facts = per_item.groupBy("query_id").agg(
+        F.count("_asked").alias("asked"), F.max("_n").alias("most"), F.count_if(F.col("_asked").isNull()).alias("unknown"),
+        F.count_if(F.col("_n") == 0).alias("missing"), F.min(F.when(F.col("_n") > 0, F.col("_good"))).alias("good"),
+    )
+    fault = (
+        F.when(F.col("asked") < 2, "few").when(F.col("most") > 1, "repeated").when(F.col("unknown") > 0, "unknown").when(F.col("missing") > 0, "missing")
+        .when(F.col("good") == 0, "value")
+    )
+    return facts.where("asked > 0").select("query_id", fault.alias("fault"))
+
+
 def reranked(pool: DataFrame, scores: DataFrame, key: str) -> DataFrame:
-    """A pool (query_id, key, rank) in the order of outside scores; a query without a score for each keeps its order."""
-    joined = pool.join(scores.select("query_id", key, "rerank_score"), ["query_id", key], "left")
-    whole = Window.partitionBy("query_id")
-    usable = (F.count("rerank_score").over(whole) == F.count("*").over(whole)) & (F.count("*").over(whole) >= 2)
-    marked = joined.withColumn("reranked", usable)
-    order = Window.partitionBy("query_id").orderBy(F.when(F.col("reranked"), -F.col("rerank_score")), "rank")
-    return marked.withColumn("final_rank", F.row_number().over(order))
+    """A pool (query_id, key, pool_rank) with rerank_score and final_rank: by outside scores, or as it was where these have a fault.
+
+    ``executed`` and ``degraded`` tell which; a query of one candidate is neither.
+    """
+    faults = score_faults(pool, scores, key)
+    usable = faults.where("fault is null").select("query_id", F.lit(True).alias("executed"))
+    marked = pool.join(usable, "query_id", "left").join(faults, "query_id").withColumn("executed", F.coalesce("executed", F.lit(False)))
+    best = scores.select("query_id", key, "rerank_score").dropDuplicates(["query_id", key])
+    joined = marked.join(best, ["query_id", key], "left").withColumn("rerank_score", F.when(F.col("executed"), F.col("rerank_score")))
+    order = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc_nulls_last(), "pool_rank")
+    degraded = ~F.col("executed") & (F.col("fault") != "few")
+    return joined.withColumn("degraded", degraded).withColumn("final_rank", F.row_number().over(order)).drop("fault")
+
+
+def variant_trace(variants: Mapping[str, tuple[DataFrame, str, str]], key: str, most: int = 100) -> DataFrame:
+    """(query_id, variant, rank, key, score): up to ``most`` items of each ranking, one table for all.
+
+    ``variants``: name -> (ranking, its rank column, its score column).
+    """
+    rows = [
+        frame.where(F.col(rank) <= most).select("query_id", F.lit(name).alias("variant"), F.col(rank).cast("int").alias("rank"), key, F.col(score).cast("double").alias("score"))
+        for name, (frame, rank, score) in variants.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def selected(pool: DataFrame, key: str, kind: str, rank: str, n_bytes: str, results: int = MAX_RESULTS, budget: int = MAX_BYTES) -> DataFrame:

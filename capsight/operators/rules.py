@@ -68,10 +68,28 @@ def personalised(found: DataFrame, tags: Column, texts: Column, bonus: float = 8
     return found.withColumn("confidence", F.least(F.lit(100.0), F.col("confidence") + F.when(named, bonus).otherwise(0.0)))
 
 
-def primary(found: DataFrame, *keys: str) -> DataFrame:
-    """The most confident rule of each case, ties by order of rules."""
-    w = Window.partitionBy(*keys).orderBy(F.col("confidence").desc(), "rule_order")
-    return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+#: Fixed value: the cause of a case that no rule and no business conclusion explains.
+NO_CAUSE = "未发现明确的网络层或应用协议卡顿原因"
+LEAST_CONFIDENCE = 30.0
+
+
+def primary(cases: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(key, cause, confidence, basis) of each case: its first candidate with evidence, else the business conclusion if it
+    was aimed at, else its first candidate, else none.
+
+    ``cases``: key, targeted, conclusion. ``found``: key, place (the order of candidates), cause, confidence, n_evidence.
+    """
+    candidate = F.struct("place", "cause", "confidence")
+    firsts = found.groupBy(key).agg(
+        F.min(F.when(F.col("n_evidence") > 0, candidate)).alias("_proven"), F.min(candidate).alias("_first")
+    )
+    out = cases.join(firsts, key, "left")
+    proven, aimed = F.col("_proven").isNotNull(), F.coalesce(F.col("targeted"), F.lit(False)) & F.col("conclusion").isNotNull()
+    return out.select(
+        key, F.when(proven, F.col("_proven.cause")).when(aimed, F.col("conclusion")).otherwise(F.coalesce("_first.cause", F.lit(NO_CAUSE))).alias("cause"),
+        F.coalesce("_proven.confidence", "_first.confidence", F.lit(LEAST_CONFIDENCE)).alias("confidence"),
+        F.when(proven, "evidence").when(aimed, "business").when(F.col("_first").isNotNull(), "candidate").otherwise("none").alias("basis"),
+    )
 
 
 def ranked(found: DataFrame, *keys: str) -> DataFrame:

@@ -83,8 +83,11 @@ def event_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The title of each conversation's first user turn."""
-    return table(spark, sf_dir, "conversations").where("turn = 0 and role = 'user'").select("conv_id", texts.title(F.col("text")).alias("title"))
+    """The title of each conversation's first user turn; each third one has a capture."""
+    c = F.col("conv_id")
+    lead = F.when(c % 5 == 0, "你好，请问：请帮我").when(c % 5 == 1, "帮我分析一下 C:\\caps\\a b.pcap；").when(c % 5 == 2, "sk-abcdefghijklmnop 请看看").otherwise("")
+    said = F.when(c % 7 == 6, "谢谢。").otherwise(F.concat(lead, F.coalesce("text", F.lit(""))))
+    return table(spark, sf_dir, "conversations").where("turn = 0 and role = 'user'").select("conv_id", texts.title(said, c % 3 == 0).alias("title"))
 
 
 def ratio_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,11 +129,16 @@ ORACLE_SQL = {
     "semi_delete": "SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
     "distinct_unanswered": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "event_cursor": "SELECT event_id, event_type FROM events WHERE event_id > 500 ORDER BY event_id LIMIT 100",
-    "titles": r"""WITH p AS (SELECT conv_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations WHERE turn = 0 AND role = 'user'),
-        q AS (SELECT conv_id, regexp_replace(t, '(?i)^(?:please|hello|hi|help me)[\s,]+', '') AS t FROM p),
-        r AS (SELECT conv_id, regexp_replace(t, '(?i)^(?:please|hello|hi|help me)[\s,]+', '') AS t FROM q),
-        s AS (SELECT conv_id, regexp_replace(t, '(?i)^(?:please|hello|hi|help me)[\s,]+', '') AS t FROM r)
-        SELECT conv_id, left(regexp_extract(t, '^[^.!?\n]*'), 28) AS title FROM s""",
+    "titles": rf"""WITH c AS (SELECT conv_id, conv_id % 3 = 0 AS cap, CASE WHEN conv_id % 7 = 6 THEN '谢谢。' ELSE CASE conv_id % 5 WHEN 0 THEN '你好，请问：请帮我' WHEN 1 THEN '帮我分析一下 C:\caps\a b.pcap；'
+            WHEN 2 THEN 'sk-abcdefghijklmnop 请看看' ELSE '' END || coalesce(text, '') END AS t FROM conversations WHERE turn = 0 AND role = 'user'),
+        h AS (SELECT conv_id, cap, trim(regexp_replace(regexp_replace(regexp_replace(t, '(?i)(?:sk-[a-z0-9_-]{{12,}}|(?:api[_-]?key|authorization)\s*[:=]\s*\S+)', '{texts.SECRET_MARK}', 'g'),
+            '(?i)(^|\W)((?:[a-z]:[\\/]|/users/|/home/|/private/|/tmp/|~[/\\])[^\n，。；,;!?]*)', '\1{texts.PATH_MARK}', 'g'), '\s+', ' ', 'g')) AS p FROM c),
+        a AS (SELECT *, trim(regexp_replace(p, '{texts.TITLE_LEAD}', ''), '{texts.LEAD_ENDS}') AS s FROM h),
+        b AS (SELECT * REPLACE (trim(regexp_replace(s, '{texts.TITLE_LEAD}', ''), '{texts.LEAD_ENDS}') AS s) FROM a),
+        d AS (SELECT * REPLACE (replace(replace(trim(regexp_replace(s, '{texts.TITLE_LEAD}', ''), '{texts.LEAD_ENDS}'), '{texts.PATH_MARK}', '{texts.PATH_NAME}'), '{texts.SECRET_MARK}', '') AS s) FROM b),
+        e AS (SELECT * REPLACE (trim(regexp_extract(s, '^[^\n。！？!?；;]*'), '{texts.TITLE_ENDS}') AS s) FROM d)
+        SELECT conv_id, CASE WHEN regexp_matches(p, '{texts.NO_TITLE}') OR s = '' OR regexp_matches(s, '{texts.NO_TITLE}') OR (cap AND length(s) < 4) THEN CASE WHEN cap THEN '{texts.CAPTURE_TITLE}' END
+            WHEN length(s) <= 28 THEN s ELSE rtrim(left(s, 27)) || '…' END AS title FROM e""",
     "ratio_bins": """WITH s AS (SELECT round(c_acctbal / 10000.0 * 100, 3) AS p FROM customer)
         SELECT CASE WHEN p < 10 THEN '0-10pct' WHEN p < 30 THEN '10-30pct' WHEN p < 60 THEN '30-60pct' WHEN p < 90 THEN '60-90pct' WHEN p >= 90 THEN '90pct-plus' END AS bin,
                count(*) AS n FROM s GROUP BY 1""",

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -21,6 +21,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(frame: DataFrame, name: str) -> DataFrame:
+    """``frame`` written once as Parquet in the shared folder, for what reads it several times."""
+    path = shared_folder(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     """(file system, path in it) of a path or a URI; ``file:/x`` is as good as ``file:///x``."""
     path = re.sub(r"^file:/+", "file:///", path)
