@@ -143,13 +143,72 @@ def title(text: Column, has_capture: Column | None = None) -> Column:
     return F.when(says_nothing, none).when(F.length(short) <= TITLE_SIGNS, short).otherwise(cut)
 
 
-def command(text: Column) -> Column:
-    """struct(name, argument) of a text that starts with a slash command; null otherwise."""
-    pattern = r"(?s)^\s*/([a-z]+)(?:\s+(.*?))?\s*$"
-    return F.when(
-        text.rlike(pattern),
-        F.struct(F.regexp_extract(text, pattern, 1).alias("name"), F.nullif(F.regexp_extract(text, pattern, 2), F.lit("")).alias("argument")),
-    )
+#: Fixed value: the slash commands of a chat.
+COMMANDS = ("new", "report", "evidence", "save", "help", "quit")
+
+
+def command(text: Column, known: tuple[str, ...] = COMMANDS) -> Column:
+    """struct(name, argument) of a chat line: ``empty`` for a blank one, ``unknown`` for a command that isn't known; null for anything else."""
+    plain, pattern = F.btrim(text, F.lit(" \t\r\n")), r"(?s)^/\s*(\S*)\s*(.*)$"
+    name = F.lower(F.regexp_extract(plain, pattern, 1))
+    found = F.struct(F.when(name.isin(*known), name).otherwise("unknown").alias("name"), F.regexp_extract(plain, pattern, 2).alias("argument"))
+    return F.when(plain == "", F.struct(F.lit("empty").alias("name"), F.lit("").alias("argument"))).when(F.startswith(plain, F.lit("/")), found)
+
+
+#: Wording of a chat turn that sets a diagnosis going, that names its parameters, that asks about a result.
+PARAMETER_TERMS = ("标准带宽", "标准速率", "实际带宽", "实际速率", "实测带宽", "上行", "上传", "下载")
+DIAGNOSIS_TERMS = ("分析", "诊断", "不达标", "测速异常")
+RESULT_TERMS = (
+    "原因", "为什么", "主因", "证据", "报告", "结果", "建议", "重传", "窗口", "rtt", "流", "卡顿", "异常", "域名", "dns", "cname", "tls", "http", "quic", "报文", "ip",
+)
+SHORT_PARAMETER = r"^\s*[0-9]+(?:\.[0-9]+)?\s*(?:g|m|k|gbps?|mbps?|kbps?|兆|千兆)?\s*$"
+
+
+def _any(text: Column, terms: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(text, t))
+
+
+def route(text: Column, has_analysis: Column, has_pending: Column) -> Column:
+    """Where a chat turn goes: analysis_question, diagnosis or general."""
+    plain = F.lower(F.trim(text))
+    asked = F.when(_any(plain, RESULT_TERMS), "analysis_question").otherwise("general")
+    starts = F.contains(plain, F.lit(".pcap")) | _any(plain, PARAMETER_TERMS + DIAGNOSIS_TERMS) | (has_pending & plain.rlike(SHORT_PARAMETER))
+    return F.when(has_analysis, asked).when(starts, "diagnosis").otherwise("general")
+
+
+def is_english(text: Column) -> Column:
+    """Whether a text is English narrative: Latin words and no CJK signs; two words, or one of ten letters; not just short names in capitals."""
+    words = F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0))
+    letters = F.aggregate(words, F.lit(0), lambda n, w: n + F.length(w))
+    names = F.forall(words, lambda w: (F.upper(w) == w) & (F.length(w) <= 8))
+    return ~text.rlike("[\\x{4e00}-\\x{9fff}]") & (F.size(words) > 0) & ~names & ((F.size(words) >= 2) | (letters >= 10))
+
+
+def whole_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else. Null is none.
+
+    Spark's parser takes no notice of what follows a value: within brackets only a closing one can follow, within
+    braces only a closing brace, so what passes both is whole.
+    """
+    listed, named = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return listed.isNotNull() & named.isNotNull() & F.try_variant_get(listed, "$[0]", "variant").isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+
+
+def embedded_object(text: Column) -> Column:
+    """The JSON object that a text holds, from its first ``{`` to its last ``}``, past a fence around it; null if that is no object."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[^\n]*(?:\n|$)", ""), r"\n\s*```\s*$", ""))
+    whole = F.regexp_extract(plain, r"(?s)\{.*\}", 0)
+    return F.when((whole != "") & whole_json(whole), whole)
+
+
+def utf8_tail(text: Column, most: int) -> Column:
+    """The end of a text that fits ``most`` bytes, cut between signs."""
+    data = F.to_binary(text, F.lit("utf-8"))
+    size = F.octet_length(text)
+    end = F.substr(data, size - most + 1, F.lit(most))
+    # up to three bytes of a sign that was cut stand first
+    left = F.length(F.regexp_extract(F.hex(end), "^(?:[89AB].)*", 0)) / 2
+    return F.when(size <= most, text).otherwise(F.substr(end, F.least(left, F.lit(3)).cast("int") + 1, F.lit(most)).cast("string"))
 
 
 def estimated_cost(tokens_in: Column, tokens_out: Column, price_in: float, price_out: float) -> Column:

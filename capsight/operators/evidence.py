@@ -6,9 +6,11 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from capsight.functions.network import parse_flow_id
+
 #: Public field names and their columns.
 EVENT_COLUMNS = {
     "evidence_id": "evidence_id", "event_type": "event_type", "frame.number": "frame_number",
@@ -153,3 +155,41 @@ def without_sensitive(values: Column) -> Column:
     """A map without keys that name something sensitive."""
     pattern = "(?i)" + "|".join(SENSITIVE)
     return F.map_filter(values, lambda k, _: ~k.rlike(pattern))
+
+
+def evidence_layers(items: DataFrame, session: str, kind: str, page: str, place: str, layers: int = 8, most: int = 80) -> DataFrame:
+    """The items of the ``layers`` types whose pages came last, and of these the last ``most``, for each session; with ``layer``, 1 for the newest type.
+
+    ``page`` orders pages, ``place`` the items of one.
+    """
+    newest = items.groupBy(session, kind).agg(F.max(page).alias("_last"))
+    rank = Window.partitionBy(session).orderBy(F.desc("_last"), kind)
+    kept = newest.withColumn("layer", F.row_number().over(rank)).where(F.col("layer") <= layers).drop("_last")
+    late = Window.partitionBy(session).orderBy(F.desc(page), F.desc(place))
+    return items.join(kept, [session, kind]).withColumn("_n", F.row_number().over(late)).where(F.col("_n") <= most).drop("_n")
+
+
+def distinct_requests(requests: DataFrame, session: str, seq: str, *asked: str) -> DataFrame:
+    """The first of the requests of a session that ask the same, paging apart, with ``query_key``: the digest of what is asked."""
+    marked = requests.withColumn("query_key", F.sha2(F.to_json(F.struct(*sorted(asked))), 256))
+    w = Window.partitionBy(session, "query_key").orderBy(seq)
+    return marked.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def filtered(rows: DataFrame, **allowed: Sequence[Any] | None) -> DataFrame:
+    """Rows whose columns have one of the allowed values; None allows all, an empty list nothing."""
+    for column, values in allowed.items():
+        if values is not None:
+            rows = rows.where(F.col(column).isin(list(values)))
+    return rows
+
+
+def sane_histogram(histogram: Column) -> Column:
+    """The buckets of a histogram with a bound and a count that isn't negative."""
+    return F.filter(histogram, lambda b: b["upper_bound_ms"].isNotNull() & (b["count"] >= 0))
+
+
+def sane_flows(flows: DataFrame, *counts: str) -> DataFrame:
+    """Flows with a printed id that parses; counts under 0 are null."""
+    kept = flows.where(parse_flow_id(F.col("flow_id")).isNotNull())
+    return kept.withColumns({c: F.when(F.col(c) >= 0, F.col(c)) for c in counts})

@@ -158,6 +158,81 @@ def searchable(chunk_rows: DataFrame, versions: DataFrame, documents: DataFrame)
     )
 
 
+def active_candidates(chunk_rows: DataFrame, versions: DataFrame, documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The searchable chunks among ``wanted`` (chunk_id): what of a ranking may still be shown."""
+    return searchable(chunk_rows, versions, documents).join(wanted.select("chunk_id").distinct(), "chunk_id", "left_semi")
+
+
+def publish_faults(drafts: DataFrame, chunk_rows: DataFrame, embeddings: DataFrame, live: DataFrame, capacity: int) -> DataFrame:
+    """(version_id, fault) of drafts (version_id, knowledge_id): no_chunks, incomplete (a chunk without an embedding of its present
+    content), capacity (the store would hold more chunks than it may, the draft in place of its document's live version), or null.
+
+    ``live``: knowledge_id, version_id in force. Each draft is judged by itself.
+    """
+    per_version = chunk_rows.groupBy("version_id").agg(F.count("*").alias("_chunks"))
+    done = embeddings.select("chunk_id", "content_hash").distinct()
+    missing = chunk_rows.join(done, ["chunk_id", "content_hash"], "left_anti").groupBy("version_id").agg(F.count("*").alias("_missing"))
+    held = live.join(per_version, "version_id").select("knowledge_id", F.col("_chunks").alias("_held"))
+    total = held.agg(F.coalesce(F.sum("_held"), F.lit(0)).alias("_total"))
+    found = drafts.join(per_version, "version_id", "left").join(missing, "version_id", "left").join(held, "knowledge_id", "left").crossJoin(F.broadcast(total))
+    after = F.col("_total") - F.coalesce("_held", F.lit(0)) + F.col("_chunks")
+    fault = F.when(F.col("_chunks").isNull(), "no_chunks").when(F.col("_missing") > 0, "incomplete").when(after > capacity, "capacity")
+    return found.select("version_id", fault.alias("fault"))
+
+
+def saved_drafts(documents: DataFrame, drafts: DataFrame, key: str, kept: Sequence[str]) -> DataFrame:
+    """``documents`` after drafts (the same columns and seq) are saved: new keys come in, known ones get the last draft's columns but for ``kept``."""
+    last = series.latest(drafts, key, F.col("seq").desc()).drop("seq")
+    renamed = last.select(*[F.col(c).alias(f"_{c}") for c in last.columns], F.lit(True).alias("_new"))
+    both = documents.withColumn("_old", F.lit(True)).join(renamed, F.col(key) == F.col(f"_{key}"), "full_outer")
+
+    def column(c: str) -> Column:
+        if c == key:
+            return F.coalesce(c, f"_{c}").alias(c)
+        mine = F.col("_new").isNull() | (F.col("_old").isNotNull() if c in kept else F.lit(False))
+        return F.when(mine, F.col(c)).otherwise(F.col(f"_{c}")).alias(c)
+
+    return both.select(*[column(c) for c in documents.columns])
+
+
+#: The parts of a case in order, their titles.
+CASE_PARTS = (
+    ("anomaly_summaries", "现象"), ("tcp_features", "TCP 特征"), ("confirmed_primary_cause", "已确认主因"), ("candidate_causes", "候选原因"), ("supporting_evidence", "支持证据"),
+    ("contradicting_evidence", "反向证据"), ("external_factors", "外部因素"), ("resolution", "处置结果"),
+)
+
+
+def case_sections(cases: DataFrame, key: str, title: str, body: str) -> DataFrame:
+    """(key, place, heading_path, content) of cases whose ``body`` is a JSON object: its filled parts in order, each under its title."""
+    value = lambda name: F.get_json_object(body, f"$.{name}")
+    filled = lambda v: v.isNotNull() & ~v.isin("", "[]", "{}", "null")
+    parts = [F.when(filled(value(n)), F.struct(F.lit(k).alias("place"), F.array(F.col(title), F.lit(t)).alias("heading_path"), value(n).alias("content"))) for k, (n, t) in enumerate(CASE_PARTS)]
+    return cases.select(key, F.inline(F.array_compact(F.array(*parts))))
+
+
+def canonical(*parts: Column) -> Column:
+    """JSON of named columns, in the order given: equal values have equal texts; nulls are left out."""
+    return F.to_json(F.struct(*parts))
+
+
+def query_identity(*parts: Column) -> Column:
+    """A query's id from what it asks: the same question has the same id."""
+    return F.concat(F.lit("ragq-"), F.substring(F.sha2(canonical(*parts), 256), 1, 16))
+
+
+def corpus_fingerprint(rows: DataFrame, group: str, key: str, digest: str, parts: int = 256) -> DataFrame:
+    """(group, fingerprint): a digest of the digests of a group's rows in order of their keys' hashes.
+
+    It comes in two steps, ``parts`` digests of parts by hash of the key and the digest of these in order, so no
+    task has all rows of a group.
+    """
+    part = F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 2) if parts == 256 else F.lpad(F.hex(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(parts))), 8, "0")
+    own = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(digest).alias("d"))))
+    step = rows.groupBy(group, part.alias("_part")).agg(F.sha2(F.array_join(F.transform(own, lambda x: F.concat_ws(":", x["k"].cast("string"), x["d"])), ","), 256).alias("_digest"))
+    whole = F.array_sort(F.collect_list(F.struct("_part", "_digest")))
+    return step.groupBy(group).agg(F.sha2(F.array_join(F.transform(whole, lambda x: F.concat_ws(":", x["_part"], x["_digest"])), ","), 256).alias("fingerprint"))
+
+
 def applies(constraint: str, value: Column) -> Column:
     """An empty constraint holds for all; else one of its entries must equal the value, case apart."""
     entries = F.transform(F.coalesce(F.col(constraint), F.array().cast("array<string>")), lambda x: F.lower(x))

@@ -15,10 +15,28 @@ def with_gap(rows: DataFrame, key: str | list[str], time: str, *order: str) -> D
     return rows.withColumn("gap", F.coalesce(F.col(time) - F.lag(time).over(w), F.lit(0.0)))
 
 
+#: Ranges of time that a running maximum is worked out in, side by side.
+RANGES = 1024
+
+
 def running_gaps(rows: DataFrame, key: str, start: str, end: str, least: float) -> DataFrame:
-    """Rows that start more than ``least`` after the latest end of all rows before them, with that ``gap``."""
-    w = Window.partitionBy(key).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("gap", F.col(start) - F.max(end).over(w)).where(F.col("gap") > least)
+    """Rows that start more than ``least`` after the latest end of all rows of their key before them, with that ``gap``.
+
+    Time is cut into RANGES: the latest end of each (a row for each key and range) is carried into those after
+    it, and rows are ordered within their range alone, so no task gets all rows of a key. Rows without a start
+    or a key have no gap.
+    """
+    known = rows.where(F.col(start).isNotNull() & F.col(key).isNotNull())
+    bounds = known.agg(F.min(start).alias("_lo"), F.max(start).alias("_hi"))
+    share = F.when(F.col("_hi") > F.col("_lo"), (F.col(start) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.lit(0.0))
+    placed = known.crossJoin(F.broadcast(bounds)).withColumn("_range", F.floor(share * RANGES).cast("int")).drop("_lo", "_hi")
+    before = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = placed.groupBy(F.col(key).alias("_key"), "_range").agg(F.max(end).alias("_end"))
+    carried = ends.select("_key", F.col("_range").alias("_at"), F.max("_end").over(before).alias("_carried"))
+    own = Window.partitionBy(key, "_range").orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    joined = placed.withColumn("_own", F.max(end).over(own)).join(carried, (F.col(key) == F.col("_key")) & (F.col("_range") == F.col("_at")))
+    found = joined.withColumn("gap", F.col(start) - F.greatest("_own", "_carried")).where(F.col("gap") > least)
+    return found.select(*rows.columns, "gap")
 
 
 def drops(rows: DataFrame, key: str, value: str, share: float = 0.35) -> DataFrame:
@@ -56,15 +74,23 @@ def capped(rows: DataFrame, kind: str, most_of_kind: int, most: int, *order: str
     return kept.orderBy(*order).limit(most)
 
 
+def _end_rows(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], most: int, last: bool) -> DataFrame:
+    """The first, or last, ``most`` rows of each group with their place from that end; tasks drop the others before the shuffle."""
+    w = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() if last else F.col(o).asc() for o in order])
+    return rows.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= most)
+
+
+def _joined_by(rows: DataFrame, facts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    same = [rows[k].eqNullSafe(facts[k]) for k in keys]
+    return rows.join(facts, reduce(Column.__and__, same) if same else F.lit(True)).drop(*[facts[k] for k in keys])
+
+
 def head_tail(rows: DataFrame, n: int, keys: tuple[str, ...], *order: str) -> DataFrame:
     """The first ceil(n / 2) and last floor(n / 2) rows of each group, or all if there are no more than n."""
     head, tail = -(-n // 2), n // 2
-    up = Window.partitionBy(*keys).orderBy(*[F.col(o).asc() for o in order])
-    down = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order])
-    return (
-        rows.withColumn("_up", F.row_number().over(up)).withColumn("_down", F.row_number().over(down))
-        .where((F.col("_up") <= head) | (F.col("_down") <= tail)).drop("_up", "_down")
-    )
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    last = _joined_by(_end_rows(rows, keys, order, tail, True), counts, keys).where(F.col("_place") <= F.col("_n") - head)
+    return _end_rows(rows, keys, order, head, False).drop("_place").unionByName(last.drop("_place", "_n"))
 
 
 def bounded_series(rows: DataFrame, anomalous: str, most: int, *order: str) -> DataFrame:
@@ -73,18 +99,15 @@ def bounded_series(rows: DataFrame, anomalous: str, most: int, *order: str) -> D
     reserve = F.when(
         (F.col("_a") > 0) & (F.col("_n") > 0) & (F.col("_a") >= most), F.least(F.col("_n"), F.lit(max(1, most // 10)))
     ).otherwise(0)
-    budgets = counts.withColumn("_for_a", F.least(F.col("_a"), most - reserve)).withColumn(
-        "_for_n", F.least(F.col("_n"), most - F.col("_for_a"))
-    ).select("_for_a", "_for_n")
-    up = Window.partitionBy(anomalous).orderBy(*[F.col(o).asc() for o in order])
-    down = Window.partitionBy(anomalous).orderBy(*[F.col(o).desc() for o in order])
-    budget = F.when(F.col(anomalous), F.col("_for_a")).otherwise(F.col("_for_n"))
-    return (
-        rows.withColumn("_up", F.row_number().over(up)).withColumn("_down", F.row_number().over(down))
-        .crossJoin(F.broadcast(budgets))
-        .where((F.col("_up") <= F.ceil(budget / 2)) | (F.col("_down") <= F.floor(budget / 2)))
-        .drop("_up", "_down", "_for_a", "_for_n")
-    )
+    budgets = counts.withColumn("_for_a", F.least(F.col("_a"), most - reserve)).withColumn("_for_n", F.least(F.col("_n"), most - F.col("_for_a")))
+    budget, total = F.when(F.col(anomalous), F.col("_for_a")).otherwise(F.col("_for_n")), F.when(F.col(anomalous), F.col("_a")).otherwise(F.col("_n"))
+
+    def ends(last: bool) -> DataFrame:
+        found = _end_rows(rows, (anomalous,), order, most, last).crossJoin(F.broadcast(budgets))
+        half = F.least(F.floor(budget / 2), total - F.ceil(budget / 2)) if last else F.ceil(budget / 2)
+        return found.where(F.col("_place") <= half).select(*rows.columns)
+
+    return ends(False).unionByName(ends(True))
 
 
 def latest(rows: DataFrame, key: str | list[str], *order: Column) -> DataFrame:

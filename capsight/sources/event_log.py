@@ -17,6 +17,7 @@ from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from capsight.functions.texts import whole_json
 from capsight.sources.storage import files_below, opened
 
 NAME = "event_log"
@@ -199,6 +200,6 @@ def parsed(lines: DataFrame, fields: str, line: str = "line") -> DataFrame:
     A field of another type is null.
     """
     found: Column = F.from_json(line, fields, {"mode": "PERMISSIVE"})
-    is_object = F.try_parse_json(F.col(line)).isNotNull() & F.col(line).rlike(r"^\s*\{")
+    is_object = F.col(line).rlike(r"^\s*\{") & whole_json(F.col(line))
     rest = [c for c in lines.columns if c != line]
     return lines.where(is_object).withColumn("_found", found).select(*rest, "_found.*")

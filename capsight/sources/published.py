@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from capsight.functions.texts import whole_json
 from capsight.sources.storage import opened
 
 #: Fixed value: the largest artifact that is read back, in bytes.
@@ -119,3 +120,24 @@ def verified(files: DataFrame, expected: DataFrame) -> DataFrame:
         .when(F.sha2("content", 256) != F.lower("sha256"), "hash")
     )
     return joined.withColumn("fault", fault).select("path", "fault", F.when(F.col("fault").isNull(), F.col("content")).alias("content"))
+
+
+def json_objects(files: DataFrame, schema: str, most: int = 16 << 20) -> DataFrame:
+    """(path, fault, value) of JSON artifacts (path, length, content): fault is size, encoding, json, object or null."""
+    text = F.col("content").cast("string")
+    fault = (
+        F.when(~F.col("length").between(1, most), "size").when(~F.is_valid_utf8(text), "encoding").when(~whole_json(text), "json")
+        .when(F.schema_of_variant(F.try_parse_json(text)).substr(1, 6) != "OBJECT", "object")
+    )
+    checked = files.select("path", fault.alias("fault"), text.alias("_text"))
+    return checked.select("path", "fault", F.when(F.col("fault").isNull(), F.from_json("_text", schema)).alias("value"))
+
+
+def digests(files: DataFrame) -> DataFrame:
+    """(path, length, sha256) of files."""
+    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def append_lines(rows: DataFrame, folder: str) -> None:
+    """Appends rows as JSON lines, in files of their own: what ``event_log`` reads."""
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("append").option("lineSep", "\n").text(folder)
