@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capsight.functions import network, symptoms, texts
-from capsight.operators import evaluation, knowledge, rules
-from capsight.plans import retrieval
+from capsight.functions import fields, network, symptoms, texts
+from capsight.operators import capture, evaluation, knowledge, rules
+from capsight.plans import packets, retrieval
 from capsight.plans.packets import k_of
 from capsight.plans.tables import table
 
@@ -182,9 +182,60 @@ def address_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", network.ipv4_scope(four).alias("four"), network.ipv6_scope(six).alias("six"), flow.alias("f")).select("event_id", "four", "six", "f.a_port", F.col("f.b").alias("b"))
 
 
+def case_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What likeness to a case adds to vectors, by direction, ratio and shared features; and their boosted unit score."""
+    v = F.col("vec_id")
+    features = lambda a, b: F.create_map(F.lit("loss"), (v % a).cast("double"), F.lit("rtt"), (v % b).cast("double"))
+    asked = F.create_map(F.lit("loss"), F.lit(3.0), F.lit("other"), F.lit(1.0))
+    boost = knowledge.case_similarity(F.col("label") % 2 == 0, (v % 100).cast("double"), F.when(v % 3 != 0, F.lit(40.0)), features(7, 50), asked)
+    score = fields.unit_score(F.get("embedding", F.lit(0)).cast("double") * 3)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(boost, 9).alias("boost"), F.round(score + boost, 6).alias("score"))
+
+
+def personal_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of users, more certain where what they complained of is in the rule's text."""
+    k = k_of()
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", F.col("value").alias("confidence"), F.when(k % 2 == 0, F.array(F.lit("DNS"), F.lit("login"))).otherwise(F.array(F.lit("video"))).alias("tags"),
+        F.when(k % 3 == 0, "dns failure").when(k % 3 == 1, "slow Video").otherwise("loss").alias("said"),
+    )
+    return rules.personalised(rows, F.col("tags"), F.col("said")).select("event_id", F.round("confidence", 4).alias("confidence"))
+
+
+def target_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event type that a case is about: by score, asked for, or of a profile."""
+    scored = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("family")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("score"))
+    found = [("score", rules.resolve_target(scored)), ("asked", rules.resolve_target(scored, asked="x.org", profile="y")), ("profile", rules.resolve_target(scored, profile="y"))]
+    parts = [frame.select(F.lit(by).alias("chosen_by"), "family", "confidence", "ambiguous") for by, frame in found]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def stall_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of wanted hosts, and how severe a stall is."""
+    host = fields.hostname(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.array(host, F.concat(F.lit("p"), (F.col("page_id") % 9).cast("string"), F.lit(".example.org"))).alias("hosts"))
+    return rules.host_filter(rows, "hosts", ["p3.example.org", "p4.example.org", "ample.org"]).select("page_id", rules.anomaly_severity(F.col("page_id") % 5).alias("severity"))
+
+
+def relative_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of packets from the least of the directions' first ones."""
+    rows = packets.packets(spark, sf_dir)
+    return capture.relative_to(rows, capture.timebase(rows)).select("frame", F.round("time", 6).alias("time"))
+
+
+def bounded_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers out of texts that hold anything."""
+    k, e = k_of(), F.col("event_id") % 8
+    text = F.when(e == 0, "").when(e == 1, " -5 ").when(e == 2, "x").when(e == 3, "Infinity").when(e == 4, "0").when(e == 5, "1.5").when(e == 6, "NaN").otherwise(F.concat(F.lit(" "), k.cast("string")))
+    return table(spark, sf_dir, "events").select(
+        "event_id", fields.clamped_long(text).alias("whole"), F.when(e != 6, fields.clamped_double(text)).alias("number"), fields.finite_double(text).alias("finite"), fields.is_nonzero(text).alias("marked")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        case_boost, personal_rules, target_family, stall_evidence, relative_times, bounded_numbers,
         bm25_columns, overfetch_topk, rerank_faults, variant_trace, context_retention, call_totals, case_rates, answer_checks, symptom_parse, named_endpoints,
         asked_endpoints, primary_cause, stage_states, bandwidths, address_scopes,
     )
@@ -205,6 +256,20 @@ _HOLDS = lambda fact: f"({_SIGNS(fact)} <> '' AND contains({_SIGNS('answer')}, {
 _MBPS = """CASE event_id % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN 1000.0 WHEN 3 THEN 1000.0 ELSE 0.001 END"""
 
 ORACLE_SQL = {
+    "case_boost": """WITH b AS (SELECT vec_id, embedding, CASE WHEN label % 2 = 0 THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN vec_id % 3 <> 0 THEN greatest(0.0, 0.08::DOUBLE * (1 - abs(vec_id % 100 - 40)::DOUBLE / 100)) ELSE 0 END
+            + 0.08::DOUBLE * greatest(0.0, 1 - abs(vec_id % 7 - 3)::DOUBLE / greatest(vec_id % 7, 3, 1)) AS boost FROM embeddings)
+        SELECT vec_id, round(boost, 9) AS boost, round(greatest(0, least(1, (embedding[1]::DOUBLE * 3 + 1) / 2)) + boost, 6) AS score FROM b""",
+    "personal_rules": f"""WITH {_K} SELECT event_id, round(least(100.0, value + CASE WHEN (k % 2 = 0 AND k % 3 = 0) OR (k % 2 = 1 AND k % 3 = 1) THEN 8 ELSE 0 END), 4) AS confidence FROM e""",
+    "target_family": """WITH s AS (SELECT event_type, sum(CAST(round(value * 100) AS BIGINT)) AS score FROM events GROUP BY 1),
+        t AS (SELECT event_type, score - coalesce(lead(score) OVER (ORDER BY score DESC, event_type), score - 1000000) AS gap, row_number() OVER (ORDER BY score DESC, event_type) AS n FROM s)
+        SELECT 'score' AS chosen_by, event_type AS family, CASE WHEN gap < 3 THEN 45.0::DOUBLE ELSE 72.0::DOUBLE END AS confidence, gap < 3 AS ambiguous FROM t WHERE n = 1
+        UNION ALL SELECT 'asked', 'x.org', 100.0, false UNION ALL SELECT 'profile', 'y', 95.0, false""",
+    "stall_evidence": """SELECT page_id, CASE WHEN page_id % 5 > 0 THEN 'high' ELSE 'medium' END AS severity FROM pages
+        WHERE page_id % 9 IN (3, 4) OR regexp_matches(rtrim(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '.'), '(^|[.])(p3[.]example[.]org|p4[.]example[.]org|ample[.]org)$')""",
+    "relative_times": f"""WITH {packets.PACKETS}, f AS (SELECT direction, arg_min(epoch, frame) AS first FROM p GROUP BY 1)
+        SELECT frame, round(epoch - (SELECT min(first) FROM f), 6) AS time FROM p""",
+    "bounded_numbers": f"""WITH {_K} SELECT event_id, CASE event_id % 8 WHEN 7 THEN k ELSE 0 END AS whole, CASE event_id % 8 WHEN 3 THEN 'inf'::DOUBLE WHEN 5 THEN 1.5 WHEN 6 THEN NULL WHEN 7 THEN k::DOUBLE ELSE 0.0 END AS number,
+        CASE event_id % 8 WHEN 1 THEN -5.0 WHEN 4 THEN 0.0 WHEN 5 THEN 1.5 WHEN 7 THEN k::DOUBLE END AS finite, event_id % 8 NOT IN (0, 4) AS marked FROM e""",
     "bm25_columns": f"""WITH
         ph AS (SELECT DISTINCT item_id AS query_id, trim(p) AS phrase FROM (SELECT item_id, unnest(CASE WHEN item_id % 4 <> 0 THEN string_split(lower(text), ' ') ELSE [lower(text)] END) AS p FROM benchmark)
                WHERE length(trim(p)) >= 3),
