@@ -26,8 +26,8 @@ from capsight.llm.integer_vectors import exact_kind, integer_vectors, matrix
 from capsight.llm.spark import discard, written
 
 PARTS, ENTRIES, ROUNDS = 4, 256, 4
-#: Levels of a stored lower bound: a byte each, a fraction of the part's largest.
-LEVELS = 255
+#: Levels of a stored lower bound, half a byte each: steps from the part's upper bound, under which none prunes, to its largest lower one.
+LEVELS = 15
 #: Distances are rounded by this fraction to the safe side; float64 errs by far less.
 SLACK = 1e-9
 #: Pairs measured at a time, and label totals' copies: a label that a third of all rows have is dealt over these.
@@ -115,23 +115,31 @@ def _numbers(column: pa.Array, kind: type, width: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], dtype=np.uint8)[at[0] : at[-1]].view(np.uint8).copy().view(kind).reshape(len(column), width)
 
 
+def _packed(levels: np.ndarray) -> np.ndarray:
+    """Two columns of levels to a byte."""
+    even = np.pad(levels, ((0, 0), (0, levels.shape[1] % 2)))
+    return even[:, ::2] | even[:, 1::2] << 4
+
+
 def _stored(parts: list[Bounds]) -> list[pa.Array]:
-    """codes (a byte for each part), scales (upper bound and step, float64, for each part), lower (a byte for each part's entries)."""
-    step = np.stack([b.lower.max(1) / LEVELS for b in parts], 1)
-    levels = [np.floor(b.lower / np.where(step[:, [p]] > 0, step[:, [p]], 1)).clip(0, LEVELS).astype(np.uint8) for p, b in enumerate(parts)]
+    """codes (a byte for each part), scales (upper bound and step, float64, for each part), lower (levels of each part's entries)."""
+    step = np.stack([np.maximum(b.lower.max(1) - b.upper, 0) / LEVELS for b in parts], 1)
+    safe = np.where(step > 0, step, 1)
+    levels = [np.floor((b.lower - b.upper[:, None]) / safe[:, [p]]).clip(0, LEVELS).astype(np.uint8) for p, b in enumerate(parts)]
+    levels = [np.where(step[:, [p]] > 0, found, 0) for p, found in enumerate(levels)]
     scales = np.stack([np.stack([b.upper for b in parts], 1), step], 2)
     codes = np.stack([b.index for b in parts], 1).astype(np.uint8)
-    return [_binary(codes), _binary(scales.reshape(len(codes), -1).view(np.uint8)), _binary(np.concatenate(levels, 1))]
+    return [_binary(codes), _binary(scales.reshape(len(codes), -1).view(np.uint8)), _binary(np.concatenate([_packed(x) for x in levels], 1))]
 
 
 def _restored(batch: pa.RecordBatch, k: int) -> list[Bounds]:
     codes = _numbers(batch.column("codes"), np.uint8, PARTS)
     scales = _numbers(batch.column("scales"), np.float64, 2 * PARTS).reshape(-1, PARTS, 2)
-    levels = _numbers(batch.column("lower"), np.uint8, PARTS * k).reshape(-1, PARTS, k)
-    return [
-        Bounds(codes[:, p].astype(np.int64), scales[:, p, 0], levels[:, p] * (scales[:, p, 1:] * (1 - SLACK)))
-        for p in range(PARTS)
-    ]
+    packed = _numbers(batch.column("lower"), np.uint8, PARTS * -(-k // 2)).reshape(-1, PARTS, -(-k // 2))
+    levels = np.stack([packed & LEVELS, packed >> 4], 3).reshape(len(codes), PARTS, -1)[:, :, :k]
+    upper, step = scales[:, :, :1], scales[:, :, 1:]
+    lower = np.where(levels > 0, (upper + levels * step) * (1 - SLACK), 0)
+    return [Bounds(codes[:, p].astype(np.int64), scales[:, p, 0], lower[:, p]) for p in range(PARTS)]
 
 
 STATE = ("codes", "scales", "lower")

@@ -7,6 +7,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -130,6 +131,21 @@ def test_pairs_are_measured_in_pieces(monkeypatch):
     assert (bounds.index == ((x[:, None] - after) ** 2).sum(2).argmin(1)).all()
 
 
+@pytest.mark.parametrize("k", [1, 2, 7, 256])
+def test_stored_bounds_hold(k):
+    rng = np.random.default_rng(k)
+    parts = []
+    for _ in range(4):
+        x, entries = rng.integers(-500, 500, (90, 4)), rng.integers(-500, 500, (k, 4))
+        parts.append(measured(x, entries))
+    batch = pa.RecordBatch.from_arrays(vector_codes._stored(parts), names=vector_codes.STATE)
+    for before, after in zip(parts, vector_codes._restored(batch, k), strict=True):
+        assert (before.index == after.index).all() and (before.upper == after.upper).all()
+        assert (after.lower <= before.lower).all()
+        lost = np.where(before.lower > before.upper[:, None], before.lower - after.lower, 0)
+        assert (lost <= before.lower.max(1, keepdims=True) / 15 + np.where(after.lower == 0, before.upper[:, None], 0) + 1e-3).all()
+
+
 def test_same_as_sql(spark):
     folder = Path("/root/testdata/sf0.001")
     con = duckdb.connect()
