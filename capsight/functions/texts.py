@@ -28,7 +28,9 @@ UNITS_MBPS = (
     ("mbps", 1.0), ("mb/s", 1.0), ("m", 1.0), ("兆", 1.0), ("gbps", 1000.0), ("gb/s", 1000.0), ("g", 1000.0), ("千兆", 1000.0),
     ("kbps", 0.001), ("kb/s", 0.001), ("k", 0.001),
 )
+#: How a unit is written, and the wording that leads a promised and a measured bandwidth.
 BANDWIDTH_UNIT = r"(?:gbps?|gb/s|g|mbps?|mb/s|m|kbps?|kb/s|k|千兆|兆)"
+STANDARD_LEAD, ACTUAL_LEAD = r"标准(?:带宽|速率)?\s*[:：=]?\s*", r"(?:实际|实测|当前)(?:带宽|速率)?\s*[:：=]?\s*"
 
 
 def replaced(text: Column, pattern: str, make) -> Column:
@@ -95,12 +97,12 @@ def _bandwidth(text: Column, lead: str) -> Column:
 
 def standard_bandwidth(text: Column) -> Column:
     """The promised megabits per second that a question names; null without one."""
-    return _bandwidth(text, r"标准(?:带宽|速率)?\s*[:：=]?\s*")
+    return _bandwidth(text, STANDARD_LEAD)
 
 
 def actual_bandwidth(text: Column) -> Column:
     """The measured megabits per second that a question names; null without one."""
-    return _bandwidth(text, r"(?:实际|实测|当前)(?:带宽|速率)?\s*[:：=]?\s*")
+    return _bandwidth(text, ACTUAL_LEAD)
 
 
 def bare_bandwidth(text: Column) -> Column:

@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,6 +79,20 @@ def test_paths_are_found_by_priority_and_put_back(spark):
         assert all(a[1] <= b[0] for a, b in zip(mine, mine[1:], strict=False))
 
 
+def test_path_search_equals_the_patterns_and_is_linear():
+    rng = random.Random(7)
+    bits = ['"', "'", "a.pcap", ".pcapng", ".PCAP", " ", "/", "C:\\", "x", ",", "\n", "../", "。", "é", ".pcap", "-", "_"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(14)))
+        assert list(paths._quoted(text)) == [m.span("path") for m in paths._PATTERNS[0].finditer(text)], text
+        for pattern in paths._PATTERNS[1:]:
+            assert list(paths._plain(text, pattern)) == [m.span("path") for m in pattern.finditer(text)], text
+    for text in ('"a.pcap ' * 60_000, ".pcap" + "a " * 300_000, "a.pcap," + "/ x" * 200_000, "'" * 500_000 + ".pcap", "C:/" * 200_000 + ",.pcap"):
+        began = time.perf_counter()
+        paths.spans(text, "/")
+        assert time.perf_counter() - began < 10
+
+
 def test_readers_see_whole_runs_only(spark, tmp_path):
     base = str(tmp_path / "base")
     with pytest.raises(NotPublished):
