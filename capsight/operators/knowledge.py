@@ -308,9 +308,10 @@ def bm25(chunk_rows: DataFrame, key: str, text: str | Sequence[str], queries: Da
     idf = F.ln((F.col("_total") - F.col("_n") + 0.5) / (F.col("_n") + 0.5))
     weight = holding.select("phrase", "_mean", F.when(idf <= 0, LEAST_IDF).otherwise(idf).alias("_idf"))
     part = F.col("_idf") * F.col("_f") * (K1 + 1) / (F.col("_f") + K1 * (1 - B + B * F.col("_length") / F.col("_mean")))
+    # dealt by text before phrases meet their queries: the sums of a text are then complete where they are made
     return (
-        hits.join(weight, "phrase").withColumn("_part", part).join(phrases, "phrase")
-        .groupBy("query_id", F.col("_key").alias(key)).agg((-F.sum("_part")).alias("score"))
+        hits.repartition("_key").join(weight, "phrase").withColumn("_part", part).join(phrases, "phrase")
+        .groupBy("query_id", "_key").agg((-F.sum("_part")).alias("score")).select("query_id", F.col("_key").alias(key), "score")
     )
 
 
