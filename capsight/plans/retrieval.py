@@ -77,8 +77,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _vector(spark: SparkSession, sf_dir: str, kept: int, every: int) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    scored = knowledge.vector_scores(vectors, "vec_id", "embedding", asked).withColumn("score", F.round("score", 9))
-    return knowledge.top(scored, "vec_id", kept, True)
+    return knowledge.nearest(vectors, "vec_id", "embedding", asked, kept)
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,8 +90,8 @@ def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.join(items, "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    scored = knowledge.vector_scores(vectors, "vec_id", "embedding", asked).withColumn("score", F.round("score", 9)).withColumnRenamed("vec_id", "doc_id")
-    fused = knowledge.fused(_keyword(spark, sf_dir), knowledge.top(scored, "doc_id", KEPT, True), "doc_id")
+    found = knowledge.nearest(vectors, "vec_id", "embedding", asked, KEPT).withColumnRenamed("vec_id", "doc_id")
+    fused = knowledge.fused(_keyword(spark, sf_dir), found, "doc_id")
     return fused.withColumn("fusion_score", F.round("fusion_score", 9))
 
 
