@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from capsight.operators import knowledge
-from capsight.plans import retrieval
+from capsight.plans import decisions, retrieval
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,6 +43,6 @@ def _plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("query", [retrieval.vector_topk])
+@pytest.mark.parametrize("query", [retrieval.vector_topk, decisions.overfetch_topk])
 def test_searches_pair_no_rows_in_joins(spark, query):
     assert "NestedLoopJoin" not in _plan(query(spark, SF)) and "Cartesian" not in _plan(query(spark, SF))
