@@ -72,8 +72,8 @@ def semi_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distinct_unanswered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without an order of status P."""
-    asked = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an order."""
+    asked = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
     return telemetry.without(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), asked, "c_custkey")
 
 
@@ -127,7 +127,7 @@ ORACLE_SQL = {
     "stale_tasks": """SELECT o_orderkey AS task_id, 'analyzing' AS status FROM orders WHERE o_orderstatus = 'P' AND epoch_us(TIMESTAMP '1999-01-01') - epoch_us(o_orderdate) > 90000000""",
     "crowded_sessions": "SELECT o_custkey AS session_id, count(*) AS n FROM orders WHERE o_orderstatus IN ('O', 'P') GROUP BY 1 HAVING count(*) > 1",
     "semi_delete": "SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
-    "distinct_unanswered": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
+    "distinct_unanswered": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "event_cursor": "SELECT event_id, event_type FROM events WHERE event_id > 500 ORDER BY event_id LIMIT 100",
     "titles": rf"""WITH c AS (SELECT conv_id, conv_id % 3 = 0 AS cap, CASE WHEN conv_id % 7 = 6 THEN '谢谢。' ELSE CASE conv_id % 5 WHEN 0 THEN '你好，请问：请帮我' WHEN 1 THEN '帮我分析一下 C:\caps\a b.pcap；'
             WHEN 2 THEN 'sk-abcdefghijklmnop 请看看' ELSE '' END || coalesce(text, '') END AS t FROM conversations WHERE turn = 0 AND role = 'user'),
