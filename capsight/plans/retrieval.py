@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from capsight.functions import fields, texts
 from capsight.operators import knowledge
 from capsight.plans.tables import table
+from capsight.sources.storage import kept
 
 KEPT = 10
 MODEL = "m"
@@ -65,8 +66,7 @@ def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = knowledge.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", _phrases(spark, sf_dir))
-    return knowledge.top(scored.withColumn("score", F.round("score", 9)), "doc_id", KEPT, False)
+    return knowledge.keyword_top(table(spark, sf_dir, "documents"), "doc_id", "text", _phrases(spark, sf_dir), KEPT)
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,10 +74,10 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keyword(spark, sf_dir)
 
 
-def _vector(spark: SparkSession, sf_dir: str, kept: int, every: int) -> DataFrame:
+def _vector(spark: SparkSession, sf_dir: str, n: int, every: int) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return knowledge.nearest(vectors, "vec_id", "embedding", asked, kept)
+    return knowledge.nearest(vectors, "vec_id", "embedding", asked, n)
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,13 +86,13 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both rankings for the benchmark's items; an item's vector is that of its id."""
+    """Both rankings for the benchmark's items; an item's vector is that of its id. The result, a few rows an item, is written: callers read it several times."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.join(items, "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     found = knowledge.nearest(vectors, "vec_id", "embedding", asked, KEPT).withColumnRenamed("vec_id", "doc_id")
     fused = knowledge.fused(_keyword(spark, sf_dir), found, "doc_id")
-    return fused.withColumn("fusion_score", F.round("fusion_score", 9))
+    return kept(fused.withColumn("fusion_score", F.round("fusion_score", 9)), "fused")
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
