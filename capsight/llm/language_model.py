@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capsight.llm.spark import written
+from capsight.llm.spark import discard, shuffles_removed, written
 from capsight.llm.text import Words, hash_word, mix, words
 
 ORDER = 3
@@ -38,6 +38,8 @@ DISCOUNT = 0.6
 HELD = 1 << 20
 #: The end token: no word holds white space.
 END = np.uint64(hash_word("\n end"))
+#: Texts are scored in so many parts, one after another: the keys that the tasks lack of one part are on disk at a time.
+PARTS = 4
 #: log2 of the bits of a bitmap over keys, at most.
 FILTER_BITS = 28
 #: A hot n-gram's number is (number of its prefix) * _BASE + (number of its last token).
@@ -205,8 +207,8 @@ class Automaton:
         return float(np.log10(self.n_tokens + self.n_distinct + 1.0))
 
 
-def _frequent(counts: DataFrame, most: int, least: int) -> DataFrame:
-    """Rows with the highest ``n``: those from the lowest threshold that at most ``most`` rows reach.
+def _threshold(counts: DataFrame, most: int, least: int) -> int | None:
+    """The lowest threshold of ``n`` that at most ``most`` rows reach; None if there is none.
 
     Thresholds are counts of six leading bits, so the histogram behind them has few rows.
     """
@@ -218,7 +220,11 @@ def _frequent(counts: DataFrame, most: int, least: int) -> DataFrame:
         if total > most or low < least:
             break
         threshold = low
-    return counts.where(F.lit(False)) if threshold is None else counts.where(F.col("n") >= threshold)
+    return threshold
+
+
+def _frequent(counts: DataFrame, threshold: int | None) -> DataFrame:
+    return counts.where(F.lit(False) if threshold is None else F.col("n") >= threshold)
 
 
 def _numbers(frame: DataFrame, *names: str) -> list[np.ndarray]:
@@ -268,44 +274,76 @@ def learn(docs: DataFrame, learning: Column, order: int = ORDER) -> tuple[Automa
     Keys are tokens and n-grams; n is null but for tokens. A token's gain is log10(n + 1) and its
     failure weight; an n-gram's is its arc less the way to the same token over its prefix's failure
     arc, and its own failure weight: along a text they add up to the arcs and failures taken.
+
+    Each join is written and what it has read is deleted, so few tables are on disk at a time.
     """
-    texts = docs.where(learning).select("text")
+    with shuffles_removed(docs.sparkSession):
+        return _learned(docs.where(learning).select("text"), order)
+
+
+def _learned(texts: DataFrame, order: int) -> tuple[Automaton, DataFrame]:
     counts = written(count_tokens(texts), "tokens")
-    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") >= LEAST)).first()
-    end = counts.where(F.col("token") == int(END.view(np.int64)))
-    log_total = float(np.log10(totals[0] + totals[1] + 1.0))
-    states = {1: counts.select(F.col("token").alias("key"), "n", (F.log10(F.col("n") + 1.0) - log_total).alias("arc"))}
-    backs: dict[int, DataFrame] = {}
-    kept, size = counts.where(F.col("n") >= LEAST).select(F.col("token").alias("key")), totals[2]
+    n_tokens, n_distinct, size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") >= LEAST)).first()
+    log_total = float(np.log10(n_tokens + n_distinct + 1.0))
+    # a state's gain lacks the failure weight of its own, which the order above tells
+    states = counts.select(
+        F.col("token").alias("key"), "n", (F.log10(F.col("n") + 1.0) - log_total).alias("arc"), F.log10(F.col("n") + 1.0).alias("gain")
+    )
+    kept, stored = states.where(F.col("n") >= LEAST).select("key"), counts
+    end = F.col("key") == int(END.view(np.int64))
+    least = _threshold(states, WORDS - 1, 1)
+    parts: dict[int, list[np.ndarray]] = {}  # of the hot n-grams: prefixes, suffixes, keys
+    hot: dict[int, list[np.ndarray]] = {}  # of the hot states: keys, counts, arcs, failure weights
+    gains: list[DataFrame] = []
     for k in range(2, order + 1):
         grams = count_grams(texts, k, bitmap(kept, "key", size))
-        below = states[k - 1]
-        states[k] = written(
-            grams.join(below.select(F.col("key").alias("prefix"), F.col("n").alias("above")), "prefix")
-            .join(below.select(F.col("key").alias("suffix"), F.col("arc").alias("lower")), "suffix")
-            .select("prefix", "suffix", "key", "n", F.log10((F.col("n") - DISCOUNT) / F.col("above")).alias("arc"), "lower"),
-            "states",
+        above = _threshold(grams, GRAMS, LEAST)
+        parts[k] = _columns(_frequent(grams, above), "prefix", "suffix", "key")
+        lowered = written(
+            grams.join(states.select(F.col("key").alias("suffix"), F.col("arc").alias("lower")), "suffix").select("prefix", "key", "n", "lower"),
+            "lowered",
         )
-        left = lambda c: F.greatest(1 - F.sum(F.pow(F.lit(10.0), c)), F.lit(1e-12))
-        backs[k - 1] = written(
-            states[k].groupBy(F.col("prefix").alias("key")).agg(F.log10(left("arc") / left("lower")).alias("back")), "backs"
+        discard(grams)
+        left = lambda c: F.greatest(1 - c, F.lit(1e-12))
+        leaving = lowered.groupBy(F.col("prefix").alias("key")).agg(
+            (F.sum("n") - F.count("*") * DISCOUNT).alias("taken"), F.sum(F.pow(F.lit(10.0), "lower")).alias("lower")
         )
-        kept, size = states[k].select("key"), states[k].count()
-    table = written(reduce(DataFrame.union, [_gains(states, backs, k) for k in states]), "gains")
-
-    found = _with_back(_frequent(counts, WORDS - 1, 1).union(end).distinct().withColumnRenamed("token", "key"), backs, 1)
-    key, n, back = _columns(found, "key", "n", "back")
+        backs = written(
+            leaving.join(states.select("key", F.col("n").alias("above")), "key")
+            .select("key", "above", F.log10(left(F.col("taken") / F.col("above")) / left(F.col("lower"))).alias("back")),
+            "backs",
+        )
+        arc = F.log10((F.col("n") - DISCOUNT) / F.col("above"))
+        found = written(
+            lowered.join(backs.withColumnRenamed("key", "prefix"), "prefix")
+            .select("key", "n", arc.alias("arc"), (arc - F.col("lower") - F.col("back")).alias("gain")),
+            "states",
+        )
+        discard(lowered)
+        back = backs.select("key", "back")
+        hot[k - 1] = _hot(states, least, back, k - 1, end)
+        n = F.col("n") if k == 2 else F.lit(None).cast("long")
+        whole = _with_back(states.select("key", n.alias("n"), "gain"), back)
+        gains.append(written(whole.select("key", "n", (F.col("gain") + F.col("back")).alias("gain")), "gains"))
+        discard(stored, backs)
+        states, stored, least = found, found, above
+        kept, size = states.select("key"), states.count()
+    hot[order] = _hot(states, least, None, order, end)
+    n = F.col("n") if order == 1 else F.lit(None).cast("long")
+    table = reduce(DataFrame.union, [*gains, states.select("key", n.alias("n"), "gain")])
+
+    key, n, _, back = hot[1]
     tokens = key.view(np.uint64)
     by_hash = np.argsort(tokens)
     tokens, n = tokens[by_hash], n[by_hash]
     automaton = Automaton(
-        tokens, n, int(totals[0]), int(totals[1]), {}, {}, {1: back[by_hash]}, bitmap(table, "key", table.count()), order
+        tokens, n, int(n_tokens), int(n_distinct), {}, {}, {1: back[by_hash]}, bitmap(table, "key", table.count()), order
     )
     hashed, last = tokens, np.arange(len(tokens))  # of the order below: keys, and numbers of last tokens
     by_hash = np.arange(len(tokens))
     for k in range(2, order + 1):
-        hot = _with_back(_frequent(states[k], GRAMS, LEAST), backs, k)
-        prefix, suffix, key, arc, back = _columns(hot, "prefix", "suffix", "key", "arc", "back")
+        prefix, suffix, key = (c[np.argsort(parts[k][2])] for c in parts[k])
+        arc, back = (c[np.argsort(hot[k][0])] for c in hot[k][2:])
         at = [_found(hashed, c.view(np.uint64)) for c in (prefix, suffix)]
         both = (at[0] >= 0) & (at[1] >= 0)
         number = by_hash[at[0][both]] * _BASE + last[by_hash[at[1][both]]]
@@ -317,27 +355,23 @@ def learn(docs: DataFrame, learning: Column, order: int = ORDER) -> tuple[Automa
     return automaton, table
 
 
+def _hot(states: DataFrame, least: int | None, backs: DataFrame | None, k: int, end: Column) -> list[np.ndarray]:
+    """(keys, counts, arcs, failure weights) of the states of order k from a count on; END is among the tokens."""
+    rows = _frequent(states, least)
+    rows = rows.union(states.where(end)).distinct() if k == 1 else rows
+    return _columns(_with_back(rows, backs), "key", "n", "arc", "back")
+
+
 def _columns(frame: DataFrame, *names: str) -> list[np.ndarray]:
     found = frame.select(*names).toArrow()
     return [found.column(c).to_numpy().copy() for c in names]
 
 
-def _with_back(frame: DataFrame, backs: dict[int, DataFrame], k: int) -> DataFrame:
-    """``frame`` (key, ..) of order k with the failure weights ``back``, 0 where no arc leaves."""
-    if k not in backs:
+def _with_back(frame: DataFrame, backs: DataFrame | None) -> DataFrame:
+    """``frame`` (key, ..) with the failure weights ``back``, 0 where no arc leaves."""
+    if backs is None:
         return frame.withColumn("back", F.lit(0.0))
-    return frame.join(backs[k], "key", "left").withColumn("back", F.coalesce("back", F.lit(0.0)))
-
-
-def _gains(states: dict[int, DataFrame], backs: dict[int, DataFrame], k: int) -> DataFrame:
-    """(key, n, gain) of order k."""
-    rows = _with_back(states[k], backs, k)
-    if k == 1:
-        return rows.select("key", "n", (F.log10(F.col("n") + 1.0) + F.col("back")).alias("gain"))
-    failing = backs[k - 1].select(F.col("key").alias("prefix"), F.col("back").alias("failure"))
-    return rows.join(failing, "prefix").select(
-        "key", F.lit(None).cast("long").alias("n"), (F.col("arc") - F.col("lower") - F.col("failure") + F.col("back")).alias("gain")
-    )
+    return frame.join(backs, "key", "left").withColumn("back", F.coalesce("back", F.lit(0.0)))
 
 
 def _traverse(shared):
@@ -388,7 +422,14 @@ def score(docs: DataFrame, automaton: Automaton, gains: DataFrame) -> DataFrame:
     null doc_id stays null; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(automaton)
-    total = automaton.log_total()
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(PARTS))
+    with shuffles_removed(docs.sparkSession):
+        scored = [_scored(docs.where(part == k), shared, automaton.log_total(), gains) for k in range(PARTS)]
+    return reduce(DataFrame.union, scored)
+
+
+def _scored(docs: DataFrame, shared, total: float, gains: DataFrame) -> DataFrame:
+    """The scores of some of the rows, written; what the tasks lack of their texts is on disk until then."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     walked = written(
         rows.mapInArrow(
@@ -410,9 +451,12 @@ def score(docs: DataFrame, automaton: Automaton, gains: DataFrame) -> DataFrame:
     )
     gone = F.col("n_tokens") - F.col("n_here")
     log_rest = F.coalesce("log_rest", F.lit(0.0))
-    return walked.drop("rest", "times").join(known, "row", "left").select(
+    found = walked.drop("rest", "times").join(known, "row", "left").select(
         "doc_id", "n_tokens",
         (F.col("n_here") + F.coalesce("n_rest", F.lit(0))).alias("n_known"),
         (F.col("log_c") + log_rest - F.col("n_tokens") * total).alias("base_score"),
         (F.col("log_p") + F.coalesce("gained", F.lit(0.0)) - gone * total).alias("score"),
     )
+    scores = written(found, "scores")
+    discard(walked)
+    return scores

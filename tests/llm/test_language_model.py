@@ -112,3 +112,26 @@ def test_all_ngrams_count_whatever_the_hot_part_holds(spark, monkeypatch, hot_wo
     automaton, gains = lm.learn(docs, F.col("doc_id") < 120)
     found = {r.doc_id: r.score for r in lm.score(docs, automaton, gains).collect()}
     assert [found[k] for k in range(len(texts))] == pytest.approx(brute_scores(texts[:120], texts))
+
+
+def test_only_what_is_read_stays_on_disk(spark, monkeypatch):
+    from pathlib import Path
+
+    from capsight.llm.spark import shared_dir
+
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    tables = lambda: {p for p in shared.glob("*-*") if any(p.glob("*.parquet"))}
+    before, most, write = tables(), [], lm.written
+
+    def counted(frame, name):
+        found = write(frame, name)
+        most.append(len(tables() - before))
+        return found
+
+    monkeypatch.setattr(lm, "written", counted)
+    docs = frames.documents(spark, [frames.row(k, "a b c d a b c e a b") for k in range(20)])
+    automaton, gains = lm.learn(docs, F.lit(True))
+    assert {p.name.split("-")[0] for p in tables() - before} == {"gains", "states"} and max(most) <= 5
+    learned = tables()
+    lm.score(docs, automaton, gains)
+    assert {p.name.split("-")[0] for p in tables() - learned} == {"scores"}
