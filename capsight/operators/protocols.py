@@ -120,10 +120,11 @@ def udp_flows(udp: DataFrame) -> DataFrame:
 
 def latency(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     """Count, mean, nearest-rank 95th percentile and maximum, per group."""
-    return rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.count("*").alias("n"), F.round(F.avg(value), 6).alias("average"),
-        F.expr(f"percentile_disc(0.95) within group (order by `{value}`)").alias("p95"), F.max(value).alias("max"),
-    )
+    rows = rows.where(F.col(value).isNotNull())
+    found = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("average"), F.max(value).alias("max"))
+    group = F.struct(F.lit(0).alias("_all"), *keys)
+    p95 = series.ranked(rows.select(group.alias("_group"), value), "_group", value, p95=series.rank_of(95))
+    return found.join(p95, group.eqNullSafe(F.col("_group"))).select(*keys, "n", "average", "p95", "max")
 
 
 def keyword_hits(rows: DataFrame, text: str, keywords: tuple[str, ...] = KEYWORDS) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from capsight.sources.storage import kept
+
 
 def with_gap(rows: DataFrame, key: str | list[str], time: str, *order: str) -> DataFrame:
     """Adds ``gap``: seconds since the row before of the same key, 0 for the first."""
@@ -39,6 +41,38 @@ def running_gaps(rows: DataFrame, key: str, start: str, end: str, least: float)
     return found.select(*rows.columns, "gap")
 
 
+def ranked(rows: DataFrame, key: str, value: str, **ranks: Column) -> DataFrame:
+    """One row per key, null too: the value at each of the named ranks, from 1 in ascending order, without nulls.
+
+    Ranks are long columns of ``n``, the count of the key's values; null where there is none. Distinct values are
+    counted and dealt out by ranges; sums of whole ranges tell the one that holds a rank, and rows are ordered within
+    that alone. So no task gets all values of a key.
+    """
+    filled = rows.select(F.col(key).alias("_key"), F.col(value).alias("_value"))
+    counts = filled.where("_value is not null").groupBy("_key", "_value").agg(F.count("*").alias("_n"))
+    counts = kept(counts.repartitionByRange("_key", "_value").withColumn("_range", F.spark_partition_id()), "ranges")
+    ranges = counts.groupBy("_key", "_range").agg(F.sum("_n").alias("_n"))
+    before, all_ = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("_key")
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("_name"), rank.alias("_rank")) for name, rank in ranks.items()]))
+    at = (
+        ranges.select("_key", "_range", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(all_).alias("n"))
+        .select("_key", "_range", "_n", "_before", wanted.alias("_w")).select("_key", "_range", "_n", "_w._name", (F.col("_w._rank") - F.col("_before")).alias("_left"))
+        .where("_left between 1 and _n")
+    )
+    at = F.broadcast(at.select(F.col("_key").alias("_k"), F.col("_range").alias("_r"), "_name", "_left"))
+    near = counts.join(at, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_range") == F.col("_r")))
+    last = F.sum("_n").over(Window.partitionBy("_key", "_range", "_name").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0))
+    found = near.withColumn("_last", last).where((F.col("_left") <= F.col("_last")) & (F.col("_left") > F.col("_last") - F.col("_n")))
+    # a key without values keeps its row
+    both = found.select("_key", "_name", "_value").unionByName(filled.select("_key").distinct(), allowMissingColumns=True)
+    return both.groupBy(F.col("_key").alias(key)).agg(*[F.max(F.when(F.col("_name") == name, F.col("_value"))).alias(name) for name in ranks])
+
+
+def rank_of(percent: int) -> Column:
+    """The nearest rank of a percentile among ``n`` values."""
+    return F.greatest(F.expr(f"({percent} * n + 99) div 100"), F.lit(1).cast("long"))
+
+
 def drops(rows: DataFrame, key: str, value: str, share: float = 0.35) -> DataFrame:
     """Rows whose value is under ``share`` of the median of their key's positive values, with that ``baseline``."""
     base = rows.where(F.col(value) > 0).groupBy(key).agg(F.median(value).alias("baseline"))
