@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def _encode(vectors: pa.Array) -> pa.Array:
     at = vectors.offsets.to_numpy()
     data = vectors.values.fill_null(float("nan")).cast(pa.float32()).to_numpy(zero_copy_only=False).astype("<f4")
-    rows = [memoryview(data[a:b].tobytes()) if ok else None for a, b, ok in zip(at[:-1], at[1:], vectors.is_valid().to_pylist(), strict=True)]
+    rows = [data[a:b].tobytes() if ok else None for a, b, ok in zip(at[:-1], at[1:], vectors.is_valid().to_pylist(), strict=True)]
     return pa.array(rows, pa.binary())
 
 

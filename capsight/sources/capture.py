@@ -180,9 +180,9 @@ class CaptureReader(ds.DataSourceReader):
                 continue
             index = pa.array(keep)
             if "data" in wanted:
-                view = memoryview(piece.data)
+                # copies, since Arrow never lets go of a memoryview's buffer, and so of the whole piece
                 ranges = zip(piece.start[rows][keep].tolist(), piece.end[rows][keep].tolist(), strict=True)
-                columns["data"] = pa.array([view[a:b] for a, b in ranges], pa.binary())
+                columns["data"] = pa.array([piece.data[a:b] for a, b in ranges], pa.binary())
             empty = {c: pa.nulls(len(keep), self.types.field(c).type) for c in LATE if c in self.names}
             arrays = [columns["data"] if c == "data" else empty[c] if c in empty else columns[c].take(index) for c in self.names]
             yield pa.RecordBatch.from_arrays(arrays, schema=self.types)
