@@ -40,7 +40,7 @@ def typed(packets: DataFrame, with_ipv6: bool = False) -> DataFrame:
     """Parsed packets: direction, frame, time, rtt_ms, n_bytes, window, flow_id, markers, SYN options.
 
     A packet without both ports is no TCP packet (``is_tcp`` false). Blank and malformed optional
-    numbers are null; a malformed tcp.len fails the job.
+    numbers are null; a malformed tcp.len fails the job. A ``flow_id`` that the rows have is taken as it is.
     """
     src, dst = fields.first_filled(_f("ip.src"), _f("ipv6.src")), fields.first_filled(_f("ip.dst"), _f("ipv6.dst"))
     sport, dport = fields.blank_to_null(_f("tcp.srcport")), fields.blank_to_null(_f("tcp.dstport"))
@@ -55,7 +55,7 @@ def typed(packets: DataFrame, with_ipv6: bool = False) -> DataFrame:
         fields.lenient_long(fields.first_filled(_f("tcp.window_size"), _f("tcp.window_size_value"))).alias("window"),
         fields.lenient_long(_f("tcp.seq")).alias("tcp_seq"), fields.lenient_long(_f("tcp.ack")).alias("tcp_ack"),
         (sport.isNotNull() & dport.isNotNull()).alias("is_tcp"),
-        network.flow_id(src, sport, dst, dport, with_ipv6).alias("flow_id"),
+        F.col("flow_id") if "flow_id" in packets.columns else network.flow_id(src, sport, dst, dport, with_ipv6).alias("flow_id"),
         F.concat_ws(":", src, sport).alias("from_end"),
         fields.is_marked(_f("tcp.flags.syn")).alias("syn"), fields.is_marked(_f("tcp.flags.ack")).alias("ack"),
         fields.blank_to_null(_f("tcp.options.mss_val")).alias("mss"),

@@ -59,7 +59,7 @@ def capture_files(spark: SparkSession, sf_dir: str) -> str:
 
 def wire_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of each flow, from files."""
-    columns = ("frame", "time_ns", "ip_version", "src", "dst", "sport", "dport", "seq", "ack", "flags", "window", "tcp_len", "mss", "wscale", "sack")
+    columns = ("frame", "time_ns", "ip_version", "src", "dst", "sport", "dport", "seq", "ack", "flags", "window", "tcp_len", "mss", "wscale", "sack", "flow_id")
     frames = wire.read(spark, capture_files(spark, sf_dir), *columns)
     base = table(spark, sf_dir, "events").agg((F.min(F.unix_micros(F.col("ts").cast("timestamp"))) * 1000).alias("_base"))
     rows = wire.packet_rows(frames.crossJoin(F.broadcast(base)), F.when(F.col("dport") == PORT, "upload").otherwise("download"), F.col("_base"))

@@ -19,3 +19,18 @@ def test_batches_do_not_keep_the_piece():
     del batch
     gc.collect()
     assert sys.getrefcount(data) == before
+
+
+def test_flow_ids_of_the_source_are_not_made_again_from_texts(spark):
+    from capsight.operators import capture as packets
+    from capsight.operators import wire
+    from capsight.plans import wire as plans
+
+    path = plans.capture_files(spark, "/root/testdata/sf0.001")
+    names = ("frame", "time_ns", "ip_version", "src", "dst", "sport", "dport", "seq", "ack", "flags", "window", "tcp_len", "mss", "wscale", "sack")
+    found = []
+    for columns in (names, (*names, "flow_id")):
+        rows = wire.packet_rows(wire.read(spark, path, *columns), plans.F.lit("upload"), plans.F.lit(0).cast("long"))
+        flows = packets.typed(rows, with_ipv6=True).groupBy("flow_id").count()
+        found.append((sorted(map(tuple, flows.collect())), "ipv6_key" in flows._jdf.queryExecution().toString()))
+    assert found[0][0] == found[1][0] and [f[1] for f in found] == [True, False]
