@@ -135,3 +135,16 @@ def test_only_what_is_read_stays_on_disk(spark, monkeypatch):
     learned = tables()
     lm.score(docs, automaton, gains)
     assert {p.name.split("-")[0] for p in tables() - learned} == {"scores"}
+
+
+def test_ranges_of_keys_give_the_same_scores(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{int(90 * rng.random() ** 2)}" for _ in range(rng.randrange(0, 40))) for _ in range(60)]
+    monkeypatch.setattr(lm, "RANGE", 400)
+    monkeypatch.setattr(lm, "WORDS", 20)
+    monkeypatch.setattr(lm, "GRAMS", 12)
+    automaton, gains = lm.learn(docs := frames.documents(spark, [frames.row(k, t) for k, t in enumerate(texts)]), F.col("doc_id") < 50)
+    held = [(r.k, r.part, len(r.key)) for r in gains.collect()]
+    assert len({part for _, part, _ in held}) > 1 and len(held) == len({h[:2] for h in held})  # a row each
+    found = {r.doc_id: r.score for r in lm.score(docs, automaton, gains).collect()}
+    assert [found[k] for k in range(len(texts))] == pytest.approx(brute_scores(texts[:50], texts))
