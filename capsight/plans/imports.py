@@ -24,9 +24,8 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nested_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The leaves of each event's nested JSON, without its sensitive and local parts."""
-    found = _features(spark, sf_dir).select("event_id", nested.flattened(F.col("body")).alias("leaves"))
-    return found.select("event_id", F.inline("leaves"))
+    """All leaves of each event's nested JSON, without its sensitive and local parts."""
+    return nested.all_leaves(_features(spark, sf_dir), "event_id", "body")
 
 
 def nested_short(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +138,7 @@ _LEAVES = f"""{_K},
     x AS (SELECT event_id, k, cents, unnest([
             {{'n': 1, 'path': 'flag', 'kind': 'boolean', 'value': CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END}}, {{'n': 2, 'path': 'kind', 'kind': 'string', 'value': event_type}},
             {{'n': 3, 'path': 'metrics.cents', 'kind': 'number', 'value': cents::VARCHAR}}, {{'n': 4, 'path': 'metrics.k', 'kind': 'number', 'value': k::VARCHAR}}]) AS leaf FROM e WHERE k % 10 <> 9
-          UNION ALL SELECT event_id, k, cents, {{'n': 5 + i, 'path': 'tags[' || i || '].at', 'kind': 'number', 'value': (k + i)::VARCHAR}} FROM e, (SELECT unnest(range(8)) AS i) WHERE k % 10 <> 9)"""
+          UNION ALL SELECT event_id, k, cents, {{'n': 5 + i, 'path': 'tags[' || i || '].at', 'kind': 'number', 'value': (k + i)::VARCHAR}} FROM e, (SELECT unnest(range(10)) AS i) WHERE k % 10 <> 9)"""
 _PLACE = lambda path: f"'capture_' || left(sha256({path}), 8)"
 _QUOTED, _DRIVE, _UP, _BARE = "'/data/cap ' || event_id || '.pcapng'", r"'C:\cap\' || k || '.pcap'", "'/work/up' || k || '.PCAP'", f"'{BASE}/b' || user_id || '.pcapng'"
 _FILES = r"""n AS (SELECT *, CASE doc_id % 7 WHEN 0 THEN '.bin' WHEN 1 THEN '.TXT' WHEN 2 THEN '.json' ELSE '.md' END AS suffix,

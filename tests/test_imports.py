@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from capsight.functions import nested, paths, vectors
 from capsight.operators.knowledge import markdown_sections
+from capsight.plans import imports
 from capsight.sources import knowledge_files, published
 from capsight.sources.published import NotPublished
 
@@ -41,6 +42,55 @@ def test_leaves_of_nested_and_malformed_json(spark):
             assert found[name] == expected, name
 
 
+def test_all_leaves_have_no_bounds(spark):
+    def deep(n):
+        return '{"d": [' * n + "7" + "]}" * n
+
+    long = {"a": {"k" * 200: {"m": "v" * 200}}, "l": list(range(20)), "x" * 130 + "token": 1, "": {"": None}}
+    values = {
+        "bounds": (json.dumps(long), [(".", "null", None), ("a." + "k" * 200 + ".m", "string", "v" * 200), *[(f"l[{n}]", "number", str(n)) for n in range(20)]]),
+        "deep": (deep(40), [(".".join(["d[0]"] * 40), "number", "7")]), "deeper": (deep(10_000), [(".".join(["d[0]"] * 10_000), "number", "7")]),
+        "digits": (f'{{"n": [-{"9" * 5000}, 1.5, true]}}', [("n[0]", "number", "-" + "9" * 5000), ("n[1]", "number", "1.5"), ("n[2]", "boolean", "true")]),
+        "hidden": ('[{"client": {"a": 1}, "b": ["/home/x", "y"]}, [[]], {}]', [("[0].b[1]", "string", "y")]), "many": (json.dumps([[0] * 100] * 1000), [(f"[{n}][{m}]", "number", "0") for n in range(1000) for m in range(100)]),
+        "scalar": ("5", []), "broken": (deep(10_000)[:-1], []), "nan": ('{"a": NaN}', []), "empty": ("", []), "null": (None, []),
+    }
+    rows = spark.createDataFrame([(k, v) for k, (v, _) in values.items()], "k string, text string")
+    found = {k: [] for k in values}
+    for r in nested.all_leaves(rows, "k", "text").collect():
+        found[r.k].append((r.path, r.kind, r.value))
+    for name, (_, expected) in values.items():
+        assert found[name] == expected, name
+
+
+def test_leaves_come_in_portions():
+    texts = [json.dumps({"l": list(range(100_000))}), None, "{broken", '{"a": 1}', json.dumps(["x" * nested.HELD_SIGNS] * 2)]
+    found = list(nested._portions(texts))
+    assert len(found) == 3 and max(len(some) for some in found) <= nested.HELD_SIGNS // 64
+    leaves = [leaf for some in found for leaf in some]
+    assert leaves[:100_001] == [*((0, f"l[{n}]", "number", str(n)) for n in range(100_000)), (3, "a", "number", "1")]
+    assert [leaf[:3] for leaf in leaves[100_001:]] == [(4, "[0]", "string"), (4, "[1]", "string")]
+
+
+def test_parsing_without_recursion_equals_json():
+    rng = random.Random(5)
+    texts = ["", " ", "]", "[1,]", "[,1]", "{,}", '{"a":1,}', '{"a"}', '{"a",1}', "[}", "{]", "nul", "NaN", "[-Infinity]", "01", "1.", "-", '"a', '"\n"', " 1 ", '{"a":1}}', "1]", "[1 2]", '{"a":1 "b":2}']
+    sound = json.dumps({"a": [1, -0.0, 1e300, None, {}], "b\"é": {"": [[], True, {"c": "\\\u0000😀"}]}, "n": 10**30})
+    for _ in range(3000):
+        at = rng.randrange(len(sound))
+        texts.append(sound[:at] + rng.choice([*'[]{},:"0 -.eE\\\n', ""]) + sound[at + rng.randrange(2) :])
+    for text in texts:
+        good, value = nested._loaded(text)
+        try:
+            assert repr(nested._parsed(text)) == repr(value) and good, text
+        except ValueError:
+            assert not good, text
+
+
+def test_nested_features_has_all_items_of_its_lists(spark):
+    found = imports.nested_features(spark, "/root/testdata/sf0.001").where("path like 'tags%'").groupBy("event_id").count().select("count").distinct().collect()
+    assert found == [(10,)]
+
+
 def test_redaction_reaches_every_depth(spark):
     text = json.dumps({"note": "a@b.org at 10.1.2.3", "secret": {"x": 1}, "l": [{"token": 1, "p": "/tmp/x y"}, ["token=abc", 5, None, True]]})
     rows = spark.createDataFrame([(text,), ("{",), (None,), ("[1, {}]",)], "t string")
